@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, langid
+from . import audio, exact, langid, quality, simhash
 from .common import documents, in_fold
 
 
@@ -23,7 +23,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_fold().alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    gam = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.score(docs, gam)
+    return out.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_audio": op1_audio,
+    "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
+    "op7_exact": op7_exact,
+    "op10_simhash": op10_simhash,
 }
