@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, exact, langid, quality, simhash
+from . import audio, exact, langid, lines, mixing, packing, quality, simhash, substring
 from .common import documents, in_fold
 
 
@@ -39,10 +39,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(documents(spark, sf_dir))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_audio": op1_audio,
+    "op2_repeats": op2_repeats,
+    "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_exact": op7_exact,
+    "op8_lines": op8_lines,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
