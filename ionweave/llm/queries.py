@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, exact, langid, lines, mixing, packing, quality, simhash, substring
+from . import audio, exact, langid, lines, mixing, packing, pii, quality, simhash, substring
 from .common import documents, in_fold
 
 
@@ -44,6 +44,12 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(documents(spark, sf_dir))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.span_text(pii.KINDS), 256).alias("base_sha256"), pii.span_text([*pii.KINDS, "term"]).alias("spans"), F.size("term").cast("long").alias("n_term"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_audio": op1_audio,
     "op2_repeats": op2_repeats,
+    "op3_private": op3_private,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
