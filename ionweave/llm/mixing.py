@@ -108,6 +108,6 @@ def mixed(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     rows = assign(sized(pick(docs, *names), spec), spec).where("__taken > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
     words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
-    head = F.regexp_extract("text", F.concat(F.lit(rf"^(?:[{SPACE}]*+[^{SPACE}]++){{"), words.cast("string"), F.lit("}+")), 0)
+    head = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(rf"^(?:[{SPACE}]*+[^{SPACE}]++){{"), words.cast("string"), F.lit("}+")), F.lit(0))
     rows = rows.withColumn("text", F.when(words < F.col("__size"), head).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*names)
