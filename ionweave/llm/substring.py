@@ -38,7 +38,7 @@ class RepeatSpec:
     """window: words of a repeat. chunk_bytes: about so much text is worked on at once."""
 
     window: int = 50
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 8 << 20
     flush_bytes: int = 48 << 20
 
     @property
