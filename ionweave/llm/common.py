@@ -28,9 +28,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table; texts are long, so they go to Python in batches of a thousand at most."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -98,6 +104,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <<
             j = min(n, max(i + 1, j), i + most_rows)
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers are used again, by other operators too
 
 
 def in_fold(doc_id: str = "doc_id") -> F.Column:

@@ -30,7 +30,7 @@ class HyperSpec:
     dim: int = 1024
     seed: int = 7
     train_rows: int = 20000
-    cache: int = 60000
+    cache: int = 30000
 
 
 @functools.lru_cache(1)
@@ -59,7 +59,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.rows = np.zeros((0, self.spec.dim), np.float32)
+        self.rows = np.zeros((0, self.spec.dim), np.int8)
 
     def _vectors(self, grams: np.ndarray) -> np.ndarray:
         """Rows for sorted distinct trigrams, each packed as three 21-bit code points."""
@@ -70,7 +70,7 @@ class Encoder:
             if len(self.keys) + len(new) > self.spec.cache:
                 self._clear()
                 new = grams
-            made = np.empty((len(new), d), np.float32)
+            made = np.empty((len(new), d), np.int8)
             for i, g in enumerate(new.tolist()):
                 a, b, c = _letter(g >> 42, d, s), _letter(g >> 21 & 0x1FFFFF, d, s), _letter(g & 0x1FFFFF, d, s)
                 made[i] = np.roll(a, 2) * np.roll(b, 1) * c
@@ -109,7 +109,7 @@ class Encoder:
                 n = min(256, len(texts) - i)
                 count = np.bincount((o[lo:hi] - i) * width + w[lo:hi], minlength=n * width).reshape(n, width)
                 used = np.flatnonzero(count.any(axis=0))
-                out[i : i + n] += count[:, used].astype(np.float32) @ vectors[used]
+                out[i : i + n] += count[:, used].astype(np.float32) @ vectors[used].astype(np.float32)
         return out, has
 
 
