@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.llm import exact, langid, mixing, packing, simhash
-from ionweave.llm.common import Scratch, pick
+from ionweave.llm.common import Scratch, pick, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose cosine with every prototype is at most this looks like no language that was learned.
@@ -19,6 +19,7 @@ MIN_SCORE = 0.0
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that look like no learned language."""
+    small_batches(spark)
     found = langid.identify(docs, langid.fit(docs), keep=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > MIN_SCORE)).select(*COLUMNS)
 
