@@ -1 +1,184 @@
-QUERIES = {}
+"""One query for each operator, on spectra derived from ``lineitem``. Doubles are rounded to six places."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import peaks as P
+from ..functions.natural import natural_key
+from ..operators import blocking, clustering, preprocess, similarity, vectors
+from ..sinks.writers import mgf_text
+from ..sources.mgf import read_mgf
+from ..storage import Scratch, numbered
+from .derived import SETTINGS, STRICT, TIGHT, raw_spectra
+from .pipeline import score_and_cluster
+
+S = SETTINGS
+LOW, HIGH = P.get_dim(S.min_mz, S.max_mz, S.fragment_tol)[1:]
+
+
+def r6(c: Column) -> Column:
+    return F.round(c.cast("double"), 6)
+
+
+def _peaks_of(df: DataFrame) -> DataFrame:
+    rows = df.select("sid", F.explode("peaks").alias("p"))
+    return rows.select("sid", F.col("p.mz").cast("double").alias("mz"), r6(F.col("p.intensity")).alias("intensity"))
+
+
+def _on_peaks(f):
+    """A query that applies an expression to the peaks of the derived spectra and returns them as rows."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _peaks_of(raw_spectra(spark, sf_dir).withColumn("peaks", f(F.col("peaks"))))
+
+    return query
+
+
+def cleaned(spark: SparkSession, sf_dir: str, s=S) -> DataFrame:
+    return preprocess.process_spectra(raw_spectra(spark, sf_dir), s).where("valid").drop("valid")
+
+
+def valid_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.process_spectra(raw_spectra(spark, sf_dir), STRICT).select("sid", "valid")
+
+
+def low_quality_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.counted(preprocess.process_spectra(raw_spectra(spark, sf_dir), STRICT))
+
+
+def preprocess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _peaks_of(cleaned(spark, sf_dir, STRICT))
+
+
+def charge_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = raw_spectra(spark, sf_dir).groupBy(F.col("precursor_charge").cast("long").alias("charge"))
+    return df.agg(F.count(F.lit(1)).alias("n"), r6(F.min("precursor_mz")).alias("lo"), r6(F.max("precursor_mz")).alias("hi"))
+
+
+def _block_stats(tol: float, unit: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = blocking.blocks(raw_spectra(spark, sf_dir), tol, unit)
+        return t.groupBy(F.col("z").cast("long").alias("z"), "block").agg(F.max("size").alias("n"), r6(F.min("precursor_mz")).alias("lo"), r6(F.max("precursor_mz")).alias("hi"))
+
+    return query
+
+
+def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = blocking.with_blocks(raw_spectra(spark, sf_dir), 20.0, "ppm", 5, ["sid"])
+    return df.select("sid", F.col("z").cast("long").alias("z"), "block", F.col("chunk").cast("long").alias("chunk"))
+
+
+def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned spectra with blocks, written once as staged spectra are."""
+    return Scratch(spark, "blocks").write(blocking.with_blocks(cleaned(spark, sf_dir), *S.precursor_tol, S.batch_size, ["sid"]))
+
+
+def peak_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = similarity.peak_matches(similarity.exploded(_blocked(spark, sf_dir)), S.fragment_tol)
+    return m.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n_match"), r6(F.sum("w")).alias("dot"))
+
+
+def _pairs(min_matches: int, threshold: float = 2.0, tol: float = S.fragment_tol):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = similarity.similar_pairs(_blocked(spark, sf_dir), tol, threshold, min_matches, S.max_peaks_used)
+        return p.select("s1", "s2", F.col("n_match").cast("long").alias("n_match"), r6(F.col("distance")).alias("distance"))
+
+    return query
+
+
+def _clusters(s):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return score_and_cluster(cleaned(spark, sf_dir), s, ["sid"]).select("sid", "cluster")
+
+    return query
+
+
+def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_and_cluster(cleaned(spark, sf_dir), S, ["sid"]).select("sid", "cluster", "is_representative")
+
+
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = score_and_cluster(cleaned(spark, sf_dir), S, ["sid"]).where("is_representative")
+    return df.select("sid", r6(F.col("precursor_mz")).alias("precursor_mz"), F.size("peaks").cast("long").alias("n_peaks"))
+
+
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.summary(cluster_medoids(spark, sf_dir))
+
+
+def global_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "labels")
+    placed = scratch.write(score_and_cluster(cleaned(spark, sf_dir), S, ["sid"]).select("sid", "block_id", "cluster", "is_representative"))
+    return clustering.global_labels(placed, scratch).select("sid", F.col("cluster").cast("long").alias("label"))
+
+
+def natural_sort_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = raw_spectra(spark, sf_dir).select("filename", F.col("identifier").alias("spectrum_id"))
+    return numbered(df, [natural_key(F.col("filename")), natural_key(F.col("spectrum_id"))], "position", Scratch(spark, "sort"))
+
+
+def bin_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.bin_vectors(cleaned(spark, sf_dir), LOW, S.fragment_tol).withColumn("value", r6(F.col("value")))
+
+
+def project_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.bin_vectors(cleaned(spark, sf_dir), LOW, S.fragment_tol)
+    out = vectors.project(v, vectors.random_projection(v, 64))
+    return out.groupBy("sid").agg(r6(F.sum(F.col("value") * F.col("value"))).alias("length"))
+
+
+def mgf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "mgf")
+    path = f"{scratch.root}/spectra.mgf"
+    mgf_text(raw_spectra(spark, sf_dir).withColumn("identifier", F.col("sid").cast("string"))).write.text(path)
+    df = read_mgf(spark, [path]).where("not bad")
+    return df.select(
+        F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"),
+        F.round("precursor_mz", 1).cast("double").alias("precursor_mz"), F.col("retention_time").cast("double").alias("retention_time"), F.size("peaks").cast("long").alias("n_peaks"),
+    )
+
+
+def _without_precursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = raw_spectra(spark, sf_dir)
+    return _peaks_of(df.withColumn("peaks", P.without_precursor(F.col("peaks"), F.col("precursor_mz"), F.col("precursor_charge"), 1.5)))
+
+
+QUERIES = {
+    "mz_range_filter": _on_peaks(lambda p: P.in_range(p, LOW, HIGH)),
+    "min_intensity_filter": _on_peaks(lambda p: P.above(p, 0.01)),
+    "top_k_peaks": _on_peaks(lambda p: P.top_k(p, 20)),
+    "precursor_peak_removal": _without_precursor,
+    "scale_root": _on_peaks(lambda p: P.scaled(p, "root")),
+    "scale_log": _on_peaks(lambda p: P.scaled(p, "log")),
+    "scale_rank": _on_peaks(lambda p: P.scaled(p, "rank", 50)),
+    "normalize_l2": _on_peaks(P.unit),
+    "valid_spectra": valid_spectra,
+    "low_quality_count": low_quality_count,
+    "preprocess_full": preprocess_full,
+    "charge_partition_stats": charge_partition_stats,
+    "precursor_blocks": _block_stats(20.0, "ppm"),
+    "precursor_blocks_da": _block_stats(0.0025, "Da"),
+    "block_chunks": block_chunks,
+    "peak_band_join": peak_band_join,
+    "pairwise_cosine": _pairs(0),
+    "min_matched_gate": _pairs(6),
+    "similar_pairs": _pairs(0, 0.1),
+    "cosine_assignment_dense": _pairs(0, 2.0, 0.8),
+    "cluster_complete": _clusters(S),
+    "cluster_average": _clusters(replace(S, linkage="average")),
+    "cluster_single": _clusters(replace(S, linkage="single")),
+    "precursor_refine": _clusters(TIGHT),
+    "rt_refine": _clusters(replace(S, rt_tol=6.0)),
+    "cluster_medoids": cluster_medoids,
+    "representatives": representatives,
+    "cluster_summary": cluster_summary,
+    "global_labels": global_labels,
+    "natural_sort_output": natural_sort_output,
+    "bin_vectors": bin_vectors,
+    "project_vectors": project_vectors,
+    "mgf_roundtrip": mgf_roundtrip,
+}
