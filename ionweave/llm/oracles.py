@@ -1 +1,40 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op2_repeats": r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
+), windows as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') s from (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50)
+), hit as (
+  select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) least from windows) where least < doc_id
+), each as (
+  select doc_id, unnest(w) word, generate_subscripts(w, 1) j from d
+), marked as (
+  select e.*, max(case when h.i is null then 0 else 1 end) over (partition by e.doc_id order by e.j rows between 49 preceding and current row) gone
+  from each e left join hit h on h.doc_id = e.doc_id and h.i = e.j
+), sums as (
+  select doc_id, count(*) n_words, count_if(gone = 1) n_removed, string_agg(word, ' ' order by j) filter (gone = 0) kept from marked group by doc_id
+)
+select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join sums using (doc_id)""",
+    "op7_exact": """
+select doc_id, max(doc_id) over same keep_id, count(*) over same group_size, doc_id = max(doc_id) over same kept, sha256(coalesce(text, '')) text_sha256
+from documents window same as (partition by coalesce(text, ''))""",
+    "op8_lines": f"""
+with d as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents
+), l as (
+  select doc_id, unnest(ls) line, generate_subscripts(ls, 1) i from d
+), k as (
+  select *, translate(trim(line, {BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l
+), common as (
+  select key, max(doc_id) top from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), marked as (
+  select k.*, coalesce(top <> doc_id, false) gone from k left join common using (key)
+)
+select doc_id, count(*) n_lines, count_if(gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256 from marked group by doc_id""",
+}
