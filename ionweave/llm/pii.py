@@ -80,8 +80,8 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
-        plain = lambda p: F.regexp_replace(p, "^0+", "")
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(plain(p)) <= 3) & (F.coalesce(F.substring(plain(p), 1, 3).cast("int"), F.lit(0)) <= 255))
+        plain = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(plain(p)) <= 3) & (F.substring(plain(p), 1, 3).cast("int") <= 255))
     if kind == "card":
         return _luhn(_digits(value))
     return F.length(_digits(value)).between(9, 15)
