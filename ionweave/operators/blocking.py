@@ -60,12 +60,13 @@ def with_blocks(spectra: DataFrame, tol: float, unit: str, batch_size: int, key:
     table = table.withColumnRenamed("precursor_mz", "__mz")
     rows = spectra.withColumn("__z", charge_key(F.col("precursor_charge")))
     rows = rows.join(table, (rows["__z"] == table["z"]) & (rows["precursor_mz"] == table["__mz"])).drop("__z", "__mz")
-    within = F.row_number().over(Window.partitionBy("cut", "z", "precursor_mz", F.when(~F.col("cut"), F.col(key[0]))).orderBy(*key)) - 1
-    place = F.when(F.col("cut"), F.col("before") + within)
+    # most spectra are in blocks that stay whole: only the others are put in order
+    whole = rows.where("not cut").withColumn("chunk", F.lit(0))
+    large = rows.where("cut").withColumn("__at", F.col("before") + F.row_number().over(Window.partitionBy("z", "precursor_mz").orderBy(*key)) - 1)
     n = F.ceil(F.col("size") / batch_size)
     q, r = F.floor(F.col("size") / n), F.col("size") % n
-    long_part = r * (q + 1)
+    long_part, place = r * (q + 1), F.col("__at")
     chunk = F.when(place < long_part, F.floor(place / (q + 1))).otherwise(r + F.floor((place - long_part) / q))
-    rows = rows.withColumn("chunk", F.coalesce(chunk, F.lit(0)).cast("int"))
+    rows = whole.unionByName(large.withColumn("chunk", chunk.cast("int")).drop("__at"))
     block_id = F.shiftleft((F.col("z") + 129).cast("long"), 52) + F.shiftleft("block", 24) + F.col("chunk")
     return rows.withColumn("block_id", block_id).drop("before", "size", "cut")
