@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder (then remembered)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder (which the context remembers)."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ionweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ionweave-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
