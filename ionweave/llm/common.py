@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: workers live on, for other operators too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in one array, and where each begins (one more at the end). Nulls are empty."""
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -63,7 +73,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <<
             j = min(n, max(i + 1, j), i + most_rows)
             yield batch.slice(i, j - i)
             i = j
-    pa.default_memory_pool().release_unused()  # workers are used again, by other operators too
+    tidy()
 
 
 def in_fold(doc_id: str = "doc_id") -> F.Column:

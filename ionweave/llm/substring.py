@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, pick, utf8
+from .common import parts, pick, tidy, utf8
 from .words import window_hashes, word_hashes, words
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -179,6 +179,7 @@ def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame
             s = slice(edge[b], edge[b + 1])
             own = np.flatnonzero(aligned[s])
             rows.append((b, low[s].tobytes(), squeeze(at[s]), squeeze(own), squeeze(c.rank[c.doc[at[s][own]]])))
+        tidy()
         out = pd.DataFrame(rows, columns=["bucket", "hash", "at", "own", "rank"])
         out.insert(1, "chunk", int(frame["chunk"].iloc[0]))
         return out
@@ -232,6 +233,7 @@ def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame
         start, high, low = start[order], high[order].astype("<u8"), low[order].astype("<u4")
         rank = c.rank[c.doc[start]]
         rows = [(b, high[s].tobytes(), low[s].tobytes(), squeeze(start[s]), squeeze(rank[s])) for b in np.flatnonzero(np.diff(cut)).tolist() for s in [slice(cut[b], cut[b + 1])]]
+        tidy()
         if not rows:
             return out
         out = pd.DataFrame(rows, columns=names)
