@@ -8,10 +8,10 @@ extended on both sides: all windows of ``window`` words around an anchor, in the
 document that was hit as in the one that hit, are compared by 96-bit hashes, and
 overlapping windows that agree join to maximal exact repeats.
 
-Documents are dealt once into chunks (compressed), words are numbered within a
-chunk, and what moves between chunks and hash buckets are packed arrays: some
-five bytes a word for probes, some fourteen for a window around an anchor. No
-pairs are made: a bucket keeps the smallest document for each hash.
+Documents are dealt once into chunks (compressed). A chunk sends each hash once,
+however many of its documents have it, with the smallest of them: some three bytes a word
+for probes, some thirteen for a window around an anchor. So a passage that a third of all documents
+share is one entry a chunk. No pairs are made: a bucket keeps the smallest document for each hash.
 """
 
 from __future__ import annotations
@@ -47,21 +47,30 @@ class RepeatSpec:
         return (self.window + 1) // 2
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Ascending 64-bit integers as the byte planes of their differences that aren't all zero."""
-    d = np.diff(a.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+def pack(a: np.ndarray) -> bytes:
+    """Unsigned 64-bit integers as those of their byte planes that aren't all zero."""
+    d = a.astype("<u8").view(np.uint8).reshape(-1, 8)
     used = np.flatnonzero(d.any(axis=0))
     mask = int((1 << used).sum()) if len(used) else 0
     return mask.to_bytes(1, "little") + len(a).to_bytes(8, "little") + d[:, used].T.tobytes()
 
 
-def expand(blob: bytes) -> np.ndarray:
-    """What :func:`squeeze` packed, as unsigned 64-bit integers."""
+def unpack(blob: bytes) -> np.ndarray:
     mask, n = blob[0], int.from_bytes(blob[1:9], "little")
     used = [i for i in range(8) if mask >> i & 1]
     d = np.zeros((n, 8), np.uint8)
     d[:, used] = np.frombuffer(blob, np.uint8, offset=9).reshape(len(used), n).T
-    return np.cumsum(d.reshape(-1).view("<u8"), dtype=np.uint64)
+    return d.reshape(-1).view("<u8")
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Ascending 64-bit integers, packed by their differences."""
+    return pack(np.diff(a.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def expand(blob: bytes) -> np.ndarray:
+    """What :func:`squeeze` packed, as unsigned 64-bit integers."""
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
 def _bundles(docs: DataFrame, chunks: int, spec: RepeatSpec) -> DataFrame:
@@ -142,11 +151,18 @@ class Chunk:
         return at, h[at]
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket (of the hashes' upper halves), and where each bucket begins in it."""
-    b = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    b = b.astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-    return np.argsort(b, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(b, minlength=buckets))))
+def _edges(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys of so many bits: buckets are equal ranges of their top 32."""
+    b = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether each entry of arrays sorted together differs from the one before."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return new
 
 
 def _column(frame: pd.DataFrame, name: str) -> list[bytes]:
@@ -167,72 +183,101 @@ def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame
     size = pick(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // spec.chunk_bytes))
     block, window = spec.block, spec.window
+    bits = min(64, 33 + chunks.bit_length())  # so many that few anchors are chance, however large the corpus
+
+    def anchors_of(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of a chunk's rolling windows by key, which of them begin a run of equal keys, and the distinct keys."""
+        at, h = c.hashes(block, _BASES[0])
+        key = h >> np.uint64(64 - bits)
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        new = _runs(key)
+        return at, key, new, key[new]
 
     def probes(frame: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(_column(frame, "blob"))
-        at, h = c.hashes(block, _BASES[0])
-        order, edge = _by_bucket(h, chunks)
-        at, low = at[order], h[order].astype("<u4")
-        aligned = (at - c.first[c.doc[at]]) % block == 0
+        at, key, new, keys = anchors_of(c)
+        which = np.cumsum(new) - 1
+        least = np.full(len(keys), ~np.uint64(0))
+        own = (at - c.first[c.doc[at]]) % block == 0
+        np.minimum.at(least, which[own], c.rank[c.doc[at[own]]])
+        held = np.zeros(len(keys), bool)
+        held[which[own]] = True
+        many = np.bincount(which, minlength=len(keys)) > 1
+        edge = _edges(keys, bits, chunks)
         rows = []
         for b in np.flatnonzero(np.diff(edge)).tolist():
             s = slice(edge[b], edge[b + 1])
-            own = np.flatnonzero(aligned[s])
-            rows.append((b, low[s].tobytes(), squeeze(at[s]), squeeze(own), squeeze(c.rank[c.doc[at[s][own]]])))
+            rows.append((b, squeeze(keys[s]), squeeze(np.flatnonzero(held[s])), pack(least[s][held[s]]), squeeze(np.flatnonzero(many[s]))))
         tidy()
-        out = pd.DataFrame(rows, columns=["bucket", "hash", "at", "own", "rank"])
+        out = pd.DataFrame(rows, columns=["bucket", "key", "own", "rank", "many"])
         out.insert(1, "chunk", int(frame["chunk"].iloc[0]))
         return out
 
     def anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(x, "<u4") for x in _column(frame, "hash")]
+        keys = [expand(x) for x in _column(frame, "key")]
         own = [expand(x).astype(np.int64) for x in _column(frame, "own")]
-        rank = np.concatenate([expand(x) for x in _column(frame, "rank")])
-        mine = np.concatenate([h[o] for h, o in zip(hashes, own)])
+        rank = np.concatenate([unpack(x) for x in _column(frame, "rank")])
+        mine = np.concatenate([k[o] for k, o in zip(keys, own)])
         out = []
         if len(mine):
             order = np.lexsort((rank, mine))
-            known, first = np.unique(mine[order], return_index=True)
-            least = rank[order][first]
-            some = np.zeros(1 << 24, bool)
-            some[known >> 8] = True
+            new = _runs(mine[order])
+            known, least = mine[order][new], rank[order][new]
             hits, total = [], np.zeros(len(known), np.int64)
-            for h in hashes:
-                i = np.flatnonzero(some[h >> 8])
-                k = np.minimum(np.searchsorted(known, h[i]), len(known) - 1)
-                good = known[k] == h[i]
-                hits.append((i[good], k[good]))
-                total += np.bincount(k[good], minlength=len(known))
-            for chunk, at, (i, k) in zip(frame["chunk"], _column(frame, "at"), hits):
+            for k, blob in zip(keys, _column(frame, "many")):
+                j = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                i = np.flatnonzero(known[j] == k)
+                times = np.ones(len(k), np.int64)
+                times[expand(blob).astype(np.int64)] = 2
+                hits.append((i, j[i]))
+                total[j[i]] += times[i]  # keys are distinct
+            for chunk, bucket, (i, k) in zip(frame["chunk"], frame["bucket"], hits):
                 more = total[k] > 1  # a block that only its own window hits is no anchor
                 if more.any():
-                    out.append((int(chunk), squeeze(expand(at)[i[more]]), least[k[more]].astype("<u8").tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "at", "least"])
+                    out.append((int(chunk), int(bucket), squeeze(i[more]), pack(least[k[more]])))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "which", "least"])
+
+    def hashed(c: Chunk, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the chunk's windows (those wanted), and their hashes in two parts, sorted by hash and then document."""
+        start, high = c.hashes(window, _BASES[1])
+        low = c.hashes(window, _BASES[2])[1] >> np.uint64(32)
+        if keep is not None:
+            keep = keep[start]
+            start, high, low = start[keep], high[keep], low[keep]
+        order = np.argsort(high, kind="stable")  # documents are in order of their ids
+        same = np.flatnonzero(high[order][1:] == high[order][:-1])
+        if (low[order][same] != low[order][same + 1]).any():
+            order = np.lexsort((start, low, high))
+        return start[order], high[order], low[order]
 
     def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "high", "low", "at", "rank"]
+        names = ["bucket", "high", "low", "rank"]
         out = pd.DataFrame(columns=["bucket", "chunk", *names[1:]])
         if not len(right) or not len(left):
             return out
         c = Chunk(_column(left, "blob"))
-        at = np.concatenate([expand(x) for x in _column(right, "at")]).astype(np.int64)
-        least = np.concatenate([np.frombuffer(x, "<u8") for x in _column(right, "least")])
+        at, key, new, keys = anchors_of(c)
+        edge = _edges(keys, bits, chunks)
+        least = np.full(len(keys), ~np.uint64(0))
+        found = np.zeros(len(keys), bool)
+        for bucket, which, value in zip(right["bucket"], _column(right, "which"), _column(right, "least")):
+            i = expand(which).astype(np.int64) + edge[bucket]
+            found[i], least[i] = True, unpack(value)
+        which = np.cumsum(new) - 1
+        at, least = at[found[which]], least[which[found[which]]]
         doc = c.doc[at]
         place = at - c.first[doc]
         use = (least < c.rank[doc]) | (place % block == 0)
-        at, doc, place = at[use], doc[use], place[use]
+        at, place = at[use], place[use]
         edge = np.zeros(len(c.hash) + 1, np.int64)
         np.add.at(edge, at - np.minimum(place, window - block), 1)
         np.add.at(edge, at + 1, -1)
-        around = np.cumsum(edge)[:-1] > 0
-        start, high = c.hashes(window, _BASES[1])
-        low = c.hashes(window, _BASES[2])[1]
-        keep = around[start]
-        start, high, low = start[keep], high[keep], low[keep]
-        order, cut = _by_bucket(high, chunks)
-        start, high, low = start[order], high[order].astype("<u8"), low[order].astype("<u4")
-        rank = c.rank[c.doc[start]]
-        rows = [(b, high[s].tobytes(), low[s].tobytes(), squeeze(start[s]), squeeze(rank[s])) for b in np.flatnonzero(np.diff(cut)).tolist() for s in [slice(cut[b], cut[b + 1])]]
+        start, high, low = hashed(c, np.cumsum(edge)[:-1] > 0)
+        first = _runs(high, low)
+        high, low, rank = high[first], low[first], c.rank[c.doc[start[first]]]
+        cut = _edges(high, 64, chunks)
+        rows = [(b, squeeze(high[s]), low[s].astype("<u4").tobytes(), pack(rank[s])) for b in np.flatnonzero(np.diff(cut)).tolist() for s in [slice(cut[b], cut[b + 1])]]
         tidy()
         if not rows:
             return out
@@ -241,49 +286,66 @@ def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame
         return out
 
     def repeats(frame: pd.DataFrame) -> pd.DataFrame:
-        high = np.concatenate([np.frombuffer(x, "<u8") for x in _column(frame, "high")])
-        low = np.concatenate([np.frombuffer(x, "<u4") for x in _column(frame, "low")])
-        ranks = [expand(x) for x in _column(frame, "rank")]
-        rank = np.concatenate(ranks)
+        highs = [expand(x) for x in _column(frame, "high")]
+        lows = [np.frombuffer(x, "<u4") for x in _column(frame, "low")]
+        rank = np.concatenate([unpack(x) for x in _column(frame, "rank")])
+        high, low = np.concatenate(highs), np.concatenate(lows)
         order = np.lexsort((rank, low, high))
-        new = np.ones(len(order), bool)
-        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        new = _runs(high[order], low[order])
         least = np.empty(len(order), np.uint64)
         least[order] = rank[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         gone, out, i = least < rank, [], 0
-        for chunk, at, r in zip(frame["chunk"], _column(frame, "at"), ranks):
-            part = gone[i : i + len(r)]
-            i += len(r)
+        for chunk, h, w in zip(frame["chunk"], highs, lows):
+            part = gone[i : i + len(h)]
+            i += len(h)
             if part.any():
-                out.append((int(chunk), squeeze(expand(at)[part])))
-        return pd.DataFrame(out, columns=["chunk", "at"])
+                out.append((int(chunk), squeeze(h[part]), w[part].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "high", "low"])
 
     def kept(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "n_words", "n_removed", "text"]
         if not len(left):
             return pd.DataFrame(columns=names)
         c = Chunk(_column(left, "blob"))
+        start, high, low = hashed(c)
+        new = _runs(high, low)
+        rank = c.rank[c.doc[start]]
+        # within the chunk the first of equal windows stays, unless a smaller document elsewhere has it
+        group = np.maximum.accumulate(np.where(new, np.arange(len(start)), 0)) if len(start) else start
+        gone = rank > rank[group]
+        if len(right):
+            h = np.concatenate([expand(x) for x in _column(right, "high")])
+            w = np.concatenate([np.frombuffer(x, "<u4") for x in _column(right, "low")]).astype(np.uint64)
+            order = np.lexsort((w, h))
+            h, w = h[order], w[order]
+            i = np.searchsorted(h, high)
+            while True:  # equal upper parts with different lower ones are passed over
+                j = np.minimum(i, len(h) - 1)
+                same = (i < len(h)) & (h[j] == high)
+                gone |= same & (w[j] == low)
+                if not (same & (w[j] != low)).any():
+                    break
+                i = np.where(same & (w[j] != low), i + 1, i)
         edge = np.zeros(len(c.hash) + 1, np.int64)
-        for x in _column(right, "at"):
-            at = expand(x).astype(np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + window, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        removed = np.bincount(c.doc[gone], minlength=len(c.ids))
+        np.add.at(edge, start[gone], 1)
+        np.add.at(edge, start[gone] + window, -1)
+        out = np.cumsum(edge)[:-1] > 0
+        removed = np.bincount(c.doc[out], minlength=len(c.ids))
         raw, offs = c.data.tobytes(), c.offs.tolist()
         texts = []
         for i, (a, b) in enumerate(zip(offs, offs[1:])):
             own = raw[a:b].split()
             if removed[i]:
-                own = [w for w, g in zip(own, gone[c.first[i] : c.first[i] + c.count[i]].tolist()) if not g]
+                own = [w for w, g in zip(own, out[c.first[i] : c.first[i] + c.count[i]].tolist()) if not g]
             texts.append(b" ".join(own).decode())
         ids = pd.array(c.ids, dtype="Int64")
         ids[c.null] = pd.NA
+        tidy()
         return pd.DataFrame({"doc_id": ids, "n_words": c.count, "n_removed": removed, "text": texts})
 
     bundles = _bundles(docs, chunks, spec)
-    found = bundles.groupBy("chunk").applyInPandas(probes, "bucket int, chunk int, hash binary, at binary, own binary, rank binary")
-    found = found.groupBy("bucket").applyInPandas(anchors, "chunk int, at binary, least binary")
-    found = bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(candidates, "bucket int, chunk int, high binary, low binary, at binary, rank binary")
-    found = found.groupBy("bucket").applyInPandas(repeats, "chunk int, at binary")
+    found = bundles.groupBy("chunk").applyInPandas(probes, "bucket int, chunk int, key binary, own binary, rank binary, many binary")
+    found = found.groupBy("bucket").applyInPandas(anchors, "chunk int, bucket int, which binary, least binary")
+    found = bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(candidates, "bucket int, chunk int, high binary, low binary, rank binary")
+    found = found.groupBy("bucket").applyInPandas(repeats, "chunk int, high binary, low binary")
     return bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(kept, "doc_id long, n_words long, n_removed long, text string")
