@@ -251,3 +251,39 @@ def test_stream(spark, tmp_path):
     writers.write_spectra(spectra(spark, [(500.0, 2, wide(), 0.0), (400.0, None, wide(), 0.0), (400.0, None, wide(2), 0.0)]), str(tmp_path / "in/a.mgf"))
     stage_stream(stream_mgf(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/batch=0")).count() == 2
+
+
+def test_threshold_of_one_takes_whole_blocks(spark):
+    rows = [(400.0, 1, wide(6), 0.0), (400.001, 1, [(m + 7, x) for m, x in wide(6)], 0.0), (500.0, 1, wide(6), 0.0), (400.0, None, wide(6), 0.0)]
+    s = Settings(distance_threshold=1.0)
+    df = preprocess.process_spectra(spectra(spark, rows), s).where("valid")
+    got = {r["sid"]: r["cluster"] for r in pipeline.score_and_cluster(df, s, ["sid"]).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_pairs_of_dense_spectra_against_brute_force(spark):
+    from itertools import combinations
+
+    from ionweave.operators.kernels import assign
+
+    rng = np.random.default_rng(4)
+    rows = [(400.0, 1, sorted((200 + 10 * rng.random(), rng.random() + 0.1) for _ in range(12)), 0.0) for _ in range(6)]
+    df = blocking.with_blocks(spectra(spark, rows), 20.0, "ppm", 32, ["sid"])
+    got = {(r["s1"], r["s2"]): (r["n_match"], r["distance"]) for r in similarity.pair_scores(df, 0.5).collect()}
+    for a, b in combinations(range(6), 2):
+        (m, x), (n, y) = (np.array(rows[k][2]).T for k in (a, b))
+        i, j = np.nonzero(np.abs(m[:, None] - n[None, :]) <= 0.5)
+        score, count = assign(i, j, x[i] * y[j])
+        assert got[a, b] == (count, pytest.approx(1 - min(1.0, score)))
+
+
+def test_bin_vectors_and_projection(spark):
+    from ionweave.operators import vectors
+
+    df = spectra(spark, [(400.0, 1, [(100.0, 1.0), (100.01, 2.0), (100.06, 4.0)], 0.0), (400.0, 1, [(100.0, 3.0)], 0.0)])
+    v = vectors.bin_vectors(df, 100.0, 0.05)
+    assert {(r["sid"], r["bin"]): r["value"] for r in v.collect()} == {(0, 0): 3.0, (0, 1): 4.0, (1, 0): 3.0}
+    t = spark.createDataFrame([(0, 0, 1.0), (0, 1, -1.0), (1, 1, 2.0)], "bin long, dim int, weight double")
+    plain = {(r["sid"], r["dim"]): r["value"] for r in vectors.project(v, t, norm=False).collect()}
+    assert plain == {(0, 0): 3.0, (0, 1): 5.0, (1, 0): 3.0, (1, 1): -3.0}
+    assert sum(r["value"] ** 2 for r in vectors.project(v, t).where("sid = 0").collect()) == pytest.approx(1)
