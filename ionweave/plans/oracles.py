@@ -139,3 +139,6 @@ select sid, label from clusters join numbers using (cluster)""",
     "bin_vectors": f"{CLEAN} select sid, cast(floor((mz - {LOW!r}::double) / 0.05::double) as bigint) bin, round(sum(x), 6) as value from unit group by all",
     "mgf_roundtrip": f"{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks from spec join (select sid, count(*) n_peaks from raw group by sid) using (sid)",
 }
+_SCAN = f"""{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks, round(first_mz, 1) first_mz
+from spec join (select sid, count(*) n_peaks, min(mz) first_mz from raw group by sid) using (sid) where sid % 5 <> 0"""
+ORACLES |= {"mzml_scan": _SCAN, "mzxml_scan": _SCAN}

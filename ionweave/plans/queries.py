@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import peaks as P
 from ..functions.natural import natural_key
 from ..operators import blocking, clustering, preprocess, similarity, vectors
 from ..sinks.writers import mgf_text
 from ..sources.mgf import read_mgf
+from ..sources.mzml import read_mzml
+from ..sources.mzxml import read_mzxml
 from ..storage import Scratch, numbered
 from .derived import SETTINGS, STRICT, TIGHT, raw_spectra
 from .pipeline import score_and_cluster
@@ -142,6 +149,56 @@ def mgf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _little(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: base64.b64encode(zlib.compress(np.asarray(v, "<f8").tobytes())).decode())
+
+
+@F.pandas_udf(T.StringType())
+def _big_pairs(mz: pd.Series, intensity: pd.Series) -> pd.Series:
+    return pd.Series([base64.b64encode(np.stack([a, b], axis=1).astype(">f4").tobytes()).decode() for a, b in zip(mz, intensity)])
+
+
+def _read_back(spark: SparkSession, df: DataFrame, extension: str, text: Column, read) -> DataFrame:
+    """Writes XML elements to four peak files, reads these and returns what their spectra say."""
+    path = f"{Scratch(spark, 'xml').root}/spectra{extension}"
+    files = df.groupBy((F.col("sid") % 4).alias("file")).agg(F.concat(F.lit("<run>"), F.array_join(F.collect_list(text), "\n"), F.lit("</run>")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    found = read(spark, [path]).where("not bad")
+    return found.select(
+        F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"), F.round("precursor_mz", 1).cast("double").alias("precursor_mz"),
+        F.round("retention_time", 1).cast("double").alias("retention_time"), F.size("peaks").cast("long").alias("n_peaks"), F.round(F.col("peaks")[0]["mz"], 1).cast("double").alias("first_mz"),
+    )
+
+
+def _level(df: DataFrame) -> DataFrame:
+    """MS level 1 for each fifth spectrum, which a reader leaves out; others are of level 2 or 3."""
+    return df.withColumn("level", F.when(F.col("sid") % 5 == 0, 1).otherwise(2 + F.col("sid") % 2).cast("string"))
+
+
+def mzml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _level(raw_spectra(spark, sf_dir))
+    cv = lambda name, value: F.concat(F.lit(f'<cvParam name="{name}" value="'), value, F.lit('"/>'))
+    array = lambda kind, field: F.concat(F.lit(f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="zlib compression"/><cvParam name="{kind}"/><binary>'), _little(F.transform("peaks", lambda p: p[field])), F.lit("</binary></binaryDataArray>"))
+    text = F.concat(
+        F.lit('<spectrum id="'), F.col("sid").cast("string"), F.lit('">'), cv("ms level", F.col("level")), F.lit("<scanList><scan>"), cv("scan start time", F.col("retention_time").cast("string")),
+        F.lit("</scan></scanList><precursorList><precursor><selectedIonList><selectedIon>"), cv("selected ion m/z", F.col("precursor_mz").cast("string")),
+        F.coalesce(cv("charge state", F.col("precursor_charge").cast("string")), F.lit("")), F.lit("</selectedIon></selectedIonList></precursor></precursorList><binaryDataArrayList>"),
+        array("m/z array", "mz"), array("intensity array", "intensity"), F.lit("</binaryDataArrayList></spectrum>"),
+    )
+    return _read_back(spark, df, ".mzML", text, read_mzml)
+
+
+def mzxml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _level(raw_spectra(spark, sf_dir))
+    charge = F.coalesce(F.concat(F.lit(' precursorCharge="'), F.col("precursor_charge").cast("string"), F.lit('"')), F.lit(""))
+    text = F.concat(
+        F.lit('<scan num="'), F.col("sid").cast("string"), F.lit('" msLevel="'), F.col("level"), F.lit('" retentionTime="PT'), (F.col("retention_time") * 60).cast("string"), F.lit('S"><precursorMz'), charge, F.lit(">"),
+        F.col("precursor_mz").cast("string"), F.lit('</precursorMz><peaks precision="32" compressionType="none">'), _big_pairs(F.transform("peaks", lambda p: p["mz"]), F.transform("peaks", lambda p: p["intensity"])), F.lit("</peaks></scan>"),
+    )
+    return _read_back(spark, df, ".mzXML", text, read_mzxml)
+
+
 def _without_precursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = raw_spectra(spark, sf_dir)
     return _peaks_of(df.withColumn("peaks", P.without_precursor(F.col("peaks"), F.col("precursor_mz"), F.col("precursor_charge"), 1.5)))
@@ -181,4 +238,6 @@ QUERIES = {
     "bin_vectors": bin_vectors,
     "project_vectors": project_vectors,
     "mgf_roundtrip": mgf_roundtrip,
+    "mzml_scan": mzml_scan,
+    "mzxml_scan": mzxml_scan,
 }
