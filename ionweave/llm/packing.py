@@ -48,16 +48,24 @@ def default_path() -> str:
 def encoding(path: str):
     """The vocabulary of a byte-level BPE file of the tokenizers library, for the tiktoken library, which is faster and gives the same ids.
 
-    Special tokens' strings in a text are ordinary text.
+    As there, an added token's string in a text is that token: use :func:`token_ids` (``encode_ordinary`` takes it for ordinary text).
     """
     import tiktoken
 
     spec = json.load(open(path, encoding="utf-8"))
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    added = spec.get("added_tokens", ())
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that take in or look at the text around them")
+    special = {t["content"]: t["id"] for t in added}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+
+def token_ids(enc, text: str) -> list[int]:
+    """The ids that the tokenizers library gives with add_special_tokens=False."""
+    return enc.encode(text, allowed_special="all", disallowed_special=())
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +158,7 @@ def pack(docs: DataFrame, spec: PackSpec | None = None) -> DataFrame:
             data, offs = utf8(batch.column("text"))
             raw, at = data.tobytes(), offs.tolist()
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), at, at[1:]):
-                ids = np.array([*enc.encode_ordinary(raw[a:b].decode()), spec.end_id], "<u4")
+                ids = np.array([*token_ids(enc, raw[a:b].decode()), spec.end_id], "<u4")
                 n, i = len(ids), 0
                 while n - i >= spec.window:
                     full.append((doc, i, spec.window, ids[i : i + spec.window].tobytes(), n, made, 0))

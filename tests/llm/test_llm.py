@@ -413,6 +413,23 @@ def test_same_ids_as_the_tokenizers_library():
         assert enc.encode_ordinary(t) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts(spark):
+    """As the contract calls the tokenizers library: add_special_tokens=False and nothing else."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_path())
+    enc = packing.encoding(packing.default_path())
+    rng = random.Random(4)
+    texts = ["abc <|endoftext|> def", "<|endoftext|>", "a  <|endoftext|>\n\n <|endoftext|><|endoftext|>b", "<|endoftext|", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", "a", "é", " ", "\n", "'s", "1"]) for _ in range(50)) for _ in range(200)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [39305, 220, 50256, 825]
+    assert [packing.token_ids(enc, t) for t in texts] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (np.frombuffer(bytes(r["ids"]), "<u4").tolist(), r["doc_tokens"]) for r in rows}
+    assert got == {i: ([*w, 0], len(w) + 1) for i, w in enumerate(want)}
+
+
 def test_differencing():
     at, sums = packing.differencing(np.array([8, 7, 6, 5, 4]), 2)
     assert sorted(sums.tolist()) == [14, 16] and [sum(np.array([8, 7, 6, 5, 4])[at == k]) for k in (0, 1)] == sums.tolist()
