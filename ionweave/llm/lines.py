@@ -4,8 +4,9 @@ An index holds, for each line key, how many documents hold it and the largest of
 them (exact, by 128-bit digests of whole keys), the list of (key, document) pairs
 that counts come from, and a cuckoo filter for each shard of keys. Documents that
 come in ask the filters first: a key that no filter knows is new and is counted
-without reading the exact table; only the others are joined with it. Deleting
-documents lowers the counts, finds the next largest document where that one went,
+without reading the exact table; only the others are joined with it, and those that
+it doesn't have either (false positives) are put into the filters after all, so that
+every live key has a tag of its own. Deleting documents lowers the counts, finds the next largest document where that one went,
 and takes keys that nobody holds out of the filters.
 """
 
@@ -163,8 +164,8 @@ class LineIndex:
         setattr(self, name, self.scratch.write(df))
         self.scratch.drop(old)
 
-    def _filtered(self, keys: DataFrame, gone: bool) -> DataFrame:
-        """(shard, key, known, filter): whether the filters knew each key, and the filters with the keys put in (gone: taken out).
+    def _filtered(self, keys: DataFrame, gone: bool, all_new: bool = False) -> DataFrame:
+        """(shard, key, known, filter): whether the filters knew each key, and the filters with the unknown keys put in (all_new: all keys; gone: taken out).
 
         keys are distinct, so shards are even however often a line occurs.
         """
@@ -183,7 +184,7 @@ class LineIndex:
             elif own is None:
                 blob = _built(h).dump()
             else:
-                blob = own.dump() if own.insert(h[~known]) else None  # None: full
+                blob = own.dump() if own.insert(h if all_new else h[~known]) else None  # None: full
             rows = pd.DataFrame({"shard": at, "key": keys, "known": known, "filter": None})
             return pd.concat([rows, pd.DataFrame({"shard": [at], "key": [None], "known": [False], "filter": [blob if blob is not None else b""]})])
 
@@ -216,12 +217,20 @@ class LineIndex:
         met = asked.where("key is not null").select("key", "known")
         fresh = delta.join(met.where("not known"), "key", "left_semi")
         maybe = delta.join(met.where("known"), "key", "left_semi").select("key", F.col("n").alias("m"), F.col("top").alias("t"))
+        # As a table: it is read when counts are another one.
+        missed = self.scratch.write(maybe.join(self.counts, "key", "left_anti").select("key"))
         merged = self.counts.join(maybe, "key", "full").select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("top", "t").alias("top"))
         self._swap("counts", fresh.unionByName(merged))
         self._swap("pairs", self.pairs.unionByName(pairs))
         kept = self.filters.join(blobs, "shard", "left_anti").unionByName(blobs.where("length(filter) > 0"))
         self._swap("filters", kept.unionByName(self._rebuilt(blobs.where("length(filter) = 0"))))
-        for table in (asked, delta, pairs):
+        # Shards that were built anew have these keys; in the others they still lack a tag.
+        missing = self._shard(missed).join(blobs.where("length(filter) = 0").select("shard"), "shard", "left_anti")
+        if not missing.isEmpty():
+            late = self.scratch.write(self._filtered(missing, gone=False, all_new=True).where("key is null").select("shard", "filter"))
+            self._swap("filters", late.where("length(filter) > 0").unionByName(self._rebuilt(late.where("length(filter) = 0"))))
+            self.scratch.drop(late)
+        for table in (asked, delta, pairs, missed):
             self.scratch.drop(table)
 
     def delete(self, ids: DataFrame) -> None:

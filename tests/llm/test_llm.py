@@ -361,6 +361,38 @@ def test_line_index_can_be_undone(spark):
     assert out(data) == brute_lines(data)
 
 
+def test_line_index_with_false_positives(spark):
+    """A new key that a filter takes for another one: it gets a tag of its own, and its removal leaves the other's."""
+    blank = lines.Cuckoo(4)  # the size of a filter of few keys
+    seen, pairs = {}, []
+    for i in range(4000):
+        line = f"a line of some length, number {i}"
+        tag, a, b = blank._place(lines._halves([lines.line_key(line.encode(), 20)]))
+        other = seen.setdefault((int(tag[0]), *sorted((int(a[0]), int(b[0])))), line)
+        if other != line:
+            pairs.append((other, line))
+    assert len(pairs) >= 2
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = [(i, "\n".join(a for a, _ in pairs)) for i in range(2)]
+    alike = [(10 + i, "\n".join(b for _, b in pairs)) for i in range(3)]
+    last = [(20, first[0][1])]
+    as_set = lambda df: sorted((bytes(r["key"]), r["n"], r["top"]) for r in df.collect())
+    out = lambda index, rows: {tuple(r) for r in lines.apply_drops(frame(rows), index.dropped()).collect()}
+    index = lines.LineIndex(spark, 1)
+    index.insert(frame(first))
+    index.insert(frame(alike))
+    assert out(index, first + alike) == brute_lines(first + alike)
+    tags = lambda: sum(int(np.count_nonzero(lines.Cuckoo.load(bytes(r["filter"])).tags)) for r in index.filters.collect())
+    assert tags() == 2 * len(pairs)
+    index.delete(frame(alike))
+    assert tags() == len(pairs)
+    index.insert(frame(last))
+    once = lines.LineIndex(spark, 1)
+    once.insert(frame(first + last))
+    assert as_set(index.counts) == as_set(once.counts)
+    assert out(index, first + last) == brute_lines(first + last)
+
+
 def test_cuckoo():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, (5000, 2), dtype=np.uint64)
