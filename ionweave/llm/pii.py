@@ -1,11 +1,11 @@
 """Information-theoretic sanitisation of personal data, with DataFrame and SQL functions only.
 
 Patterns find protected entities (e-mail and IP addresses, card and phone
-numbers). Then the corpus says how much the words around them reveal: of the
-log2(N / n(e)) bits that tell which of N documents hold entity e, the word t gives
-log2(N n(t,e) / (n(t) n(e))), where n counts documents. A word that reveals at least
+numbers). Then the corpus says how much the other words of their documents reveal: of
+the log2(N / n(e)) bits that tell which of N documents hold entity e, the word t gives
+log2(N n(t,e) / (n(t) n(e))), where n counts whole documents. A word that reveals at least
 ``generalise`` of the bits in at least ``support`` documents becomes a placeholder
-there, one that reveals at least ``remove`` of them goes.
+wherever it stands in them, one that reveals at least ``remove`` of them goes.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ TERM = r"\p{L}{4,}+"
 
 @dataclass(frozen=True)
 class DisclosureSpec:
-    """reach: characters on either side of an entity in which words are looked at."""
+    """support: in so many documents with an entity a word must stand. generalise, remove: shares of the entity's bits."""
 
-    reach: int = 64
     support: int = 3
     generalise: float = 0.75
     remove: float = 0.9
@@ -106,35 +105,65 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def context_terms(docs: DataFrame, spec: DisclosureSpec) -> DataFrame:
-    """(doc_id, mark, entity, term, start, end): words within reach of an entity; mark tells rows of one id apart."""
+def _terms(text: Column) -> Column:
+    """The distinct words of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def held_entities(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, entity): the distinct entities of each row; mark tells rows of one id apart."""
     df = base_spans(docs).withColumn("mark", F.xxhash64("__text"))
-    entities = F.concat(*[F.transform(k, _for(k, lambda k, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _entity(k, s["value"]).alias("entity")))) for k in KINDS])
-    df = df.withColumn("es", entities).where(F.size("es") > 0).select("doc_id", "mark", "__text", F.explode("es").alias("e"))
-    first = F.greatest(F.lit(0), F.col("e.start") - spec.reach)
-    sides = F.array(
-        F.struct(first.alias("at"), F.substring(F.col("__text"), first + 1, F.col("e.start") - first).alias("t")),
-        F.struct(F.col("e.end").alias("at"), F.substring(F.col("__text"), F.col("e.end") + 1, F.lit(spec.reach)).alias("t")),
-    )
-    df = df.select("doc_id", "mark", F.col("e.entity").alias("entity"), F.explode(sides).alias("s")).select("doc_id", "mark", "entity", F.col("s.at").alias("at"), F.col("s.t").alias("t"))
-    df = df.withColumn("m", F.regexp_extract_all("t", F.lit(TERM), F.lit(0))).withColumn("m", _located(F.col("t"), F.col("m"), TERM))
-    df = df.select("doc_id", "mark", "entity", "at", F.explode("m").alias("m"))
-    return df.select("doc_id", "mark", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
+    entities = F.array_distinct(F.concat(*[F.transform(k, _for(k, lambda k, s: _entity(k, s["value"]))) for k in KINDS]))
+    return df.select("doc_id", "mark", F.explode(entities).alias("entity"))
+
+
+def holding_texts(docs: DataFrame, held: DataFrame, spec: DisclosureSpec) -> DataFrame:
+    """(doc_id, mark, __text, es): rows with an entity that ``support`` rows hold, and structs (entity, n_e) of these.
+
+    No word can stand in ``support`` rows of an entity that fewer rows hold.
+    """
+    holders = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= spec.support)
+    own = skewed_join(held, holders, ["entity"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("entity", "n_e")).alias("es"))
+    own = own.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).withColumn("mark", F.xxhash64("__text"))
+    df = texts.join(own, texts["doc_id"].eqNullSafe(own["__id"]) & (texts["mark"] == own["__mark"]))
+    return df.select("doc_id", "mark", "__text", "es")
+
+
+def shared_terms(texts: DataFrame) -> DataFrame:
+    """(doc_id, mark, entity, n_e, term): for each row all words of its text, with each of its entities."""
+    df = texts.select("doc_id", "mark", "es", F.explode(_terms(F.col("__text"))).alias("term"))
+    return df.select("doc_id", "mark", "term", F.explode("es").alias("e")).select("doc_id", "mark", "e.entity", "e.n_e", "term")
 
 
-def disclosures(docs: DataFrame, near: DataFrame, spec: DisclosureSpec) -> DataFrame:
+def disclosures(docs: DataFrame, both: DataFrame, spec: DisclosureSpec) -> DataFrame:
     """(entity, term, share): words that reveal at least ``generalise`` of an entity's bits; documents are rows."""
     total = docs.count()
-    seen = near.groupBy("entity", "term").agg(F.count_distinct(F.struct("doc_id", "mark")).alias("n_te")).where(F.col("n_te") >= spec.support)
-    holders = near.groupBy("entity").agg(F.count_distinct(F.struct("doc_id", "mark")).alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    seen = both.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= spec.support)
+    words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     known = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    df = seen.join(holders, "entity").join(known, "term")
+    df = skewed_join(seen, known, ["term"])
     bits = F.log2(F.lit(float(total)) / F.col("n_e"))
     share = 1 - F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / bits
     return df.where(bits > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= spec.generalise)
 
 
+def _marked(text: Column, shares: Column) -> Column:
+    """(start, end, share) of each word of the text that has a share."""
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    both = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), words.alias("value"))
+    none = F.array().cast("array<struct<start:int,end:int,share:double>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        share = F.element_at(shares, F.lower(x["value"]))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), share.alias("share")))
+        return F.struct(end.alias("at"), F.when(share.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    return F.aggregate(F.slice(both, F.lit(1), F.size(words)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def _sanitised(text: Column, spans: Column) -> Column:
     """The text with spans (start, end, as) replaced, first come first; overlaps go with the earlier one."""
 
@@ -152,22 +181,31 @@ def sanitise(docs: DataFrame, spec: DisclosureSpec = DisclosureSpec()) -> DataFr
 
     Spans are (start, end, ...) in code points, end exclusive; those of the base kinds are
     what the patterns find, less matches that fail their checks. ``term`` spans are
-    words the corpus says reveal an entity next to them, with the share they reveal.
+    words the corpus says reveal an entity of the document, wherever they stand in it
+    (but for those within a span of the base kinds), with the share they reveal.
     A null text is empty. Rows count as documents, repeated ones too; null ids are
     kept apart by their texts. An empty table gives an empty one; other columns
     are ignored.
     """
     rows = pick(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession, "pii")
-    near = scratch.write(context_terms(rows, spec))
-    told = scratch.write(disclosures(rows, near, spec))
-    hits = skewed_join(near, told, ["entity", "term"])
-    hits = hits.groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
-    hits = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
+    held = scratch.write(held_entities(rows))
+    texts = scratch.write(holding_texts(rows, held, spec))  # so that only these move again
+    both = scratch.write(shared_terms(texts))
+    told = scratch.write(disclosures(rows, both, spec))
+    hits = skewed_join(both, told, ["entity", "term"])
+    hits = hits.groupBy("doc_id", "mark", "term").agg(F.max("share").alias("share"))
+    hits = hits.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    hits = texts.select("doc_id", "mark", "__text").dropDuplicates(["doc_id", "mark"]).withColumnsRenamed({"doc_id": "__id", "mark": "__mark"}).join(
+        hits, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__mark") == F.col("mark"))
+    )
+    hits = hits.select("doc_id", "mark", _marked(F.col("__text"), F.col("shares")).alias("term"))
     hits = hits.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
     df = base_spans(rows).withColumn("mark", F.xxhash64("__text"))
     df = df.join(hits, df["doc_id"].eqNullSafe(hits["__id"]) & (df["mark"] == hits["__mark"]), "left")
-    df = df.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    places = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    apart = F.filter("term", lambda w: ~F.exists(places, lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
+    df = df.withColumn("term", F.coalesce(apart, F.array().cast("array<struct<start:int,end:int,share:double>>")))
     marks = [F.transform(k, _for(k, lambda k, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("as")))) for k in KINDS]
     marks.append(F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= spec.remove, F.lit("")).otherwise(F.lit("[WORD]")).alias("as"))))
     return df.select("doc_id", *KINDS, "term", _sanitised(F.col("__text"), F.concat(*marks)).alias("text"))

@@ -211,6 +211,17 @@ def test_private_terms(spark):
     assert all(got[d] == ([], t) for d, t in rows[4:])
 
 
+def test_private_terms_of_whole_documents(spark):
+    """Words count and go wherever they stand in an entity's documents, in headings and signatures too; repeated rows count."""
+    filler = " ".join(["common things happen often"] * 5)
+    rows = [(1, f"Quagga\n{filler} x@y.org {filler}\nyours, QUAGGA Zebra"), (2, f"{filler} Zebra {filler} x@y.org quagga"), (3, f"zebra.quagga@y.org, x@y.org {filler} {filler} Zebra Quagga")]
+    rows += [rows[0], (4, "no such word as giraffe")] + [(10 + i, filler) for i in range(60)]
+    got = [(r["doc_id"], [dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["term"]], r["text"]) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = {1: (["Quagga", "QUAGGA", "Zebra"], f"\n{filler} [EMAIL] {filler}\nyours,  "), 2: (["Zebra", "quagga"], f"{filler}  {filler} [EMAIL] "), 3: (["Zebra", "Quagga"], f"[EMAIL], [EMAIL] {filler} {filler}  ")}
+    # "yours" stands in two rows, under the support of three.
+    assert sorted(got) == sorted((d, *want.get(d, ([], t))) for d, t in rows)
+
+
 def test_mix_plan(docs, odd, none):
     got = mixing.mix_plan(docs).collect()
     again = mixing.mix_plan(docs.repartition(5)).collect()
