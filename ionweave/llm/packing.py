@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,10 @@ class PackSpec:
 
 #: The pattern that byte-level BPE vocabularies of this kind are made with (fixed values).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What \s is in that pattern: characters with the property White_Space (fixed values).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space this long are cut out by hand: the pattern's matcher keeps a way back for each character of a run.
+LONG_RUN = 20_000
 
 
 def default_path() -> str:
@@ -44,28 +50,74 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(2)
-def encoding(path: str):
-    """The vocabulary of a byte-level BPE file of the tokenizers library, for the tiktoken library, which is faster and gives the same ids.
+def _is_plain(spec: dict) -> bool:
+    """Whether a tokenizer's file is byte-level BPE as :class:`TokenIds` computes it: SPLIT, merges in the order of ids, added tokens that stand alone."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"].get(t) for t in made]
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    return None not in ids and all(a < b for a, b in itertools.pairwise(ids)) and len(set(model["vocab"]) - added) == len(made) + 256
+
 
-    As there, an added token's string in a text is that token: use :func:`token_ids` (``encode_ordinary`` takes it for ordinary text).
+class TokenIds:
+    """The ids that the tokenizers library gives with add_special_tokens=False (on default settings: an added token's string in a text is that token).
+
+    A plain byte-level BPE file is read into the tiktoken library, which is faster; any other file is left to the tokenizers library.
     """
-    import tiktoken
 
-    spec = json.load(open(path, encoding="utf-8"))
-    added = spec.get("added_tokens", ())
-    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
-        raise ValueError(f"{path}: added tokens that take in or look at the text around them")
-    special = {t["content"]: t["id"] for t in added}
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.slow = None
+        if not _is_plain(spec):
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(path)
+            return
+        import tiktoken
+
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
+        self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
+        self.run = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
+    def __call__(self, text: str) -> list[int]:
+        if self.slow is not None:
+            return self.slow.encode(text, add_special_tokens=False).ids
+        if not any(t in text for t in self.added):
+            return self._plain(text)
+        out: list[int] = []
+        for part in self.cut.split(text):
+            out += [self.added[part]] if part in self.added else self._plain(part)
+        return out
+
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without added tokens. Before other text the last character of a run of white space is not part of the run's piece."""
+        if len(text) < LONG_RUN:
+            return self.fast.encode_ordinary(text)
+        out: list[int] = []
+        at = 0
+        for m in self.run.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.fast.encode_ordinary(text[at : m.start()])
+            out += self.fast._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.fast.encode_ordinary(text[at:])
 
 
-def token_ids(enc, text: str) -> list[int]:
-    """The ids that the tokenizers library gives with add_special_tokens=False."""
-    return enc.encode(text, allowed_special="all", disallowed_special=())
+@functools.lru_cache(2)
+def token_ids(path: str) -> TokenIds:
+    return TokenIds(path)
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,14 +180,14 @@ def pack(docs: DataFrame, spec: PackSpec | None = None) -> DataFrame:
     A null or empty text is one token, the end id. Sequences belong to a
     partition of the input and are numbered within it, so nothing is
     shuffled, and a task that runs again gives the same rows; memory holds one
-    batch of pieces. Repeated rows and null ids are packed one by one; an empty
+    batch of pieces and one text with its ids, however long it is (runs of a million blanks too). Repeated rows and null ids are packed one by one; an empty
     table gives an empty one; other columns are ignored.
     """
     spec = spec or PackSpec(default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        enc = encoding(spec.path)
+        ids_of = token_ids(spec.path)
         full: list[tuple] = []
         rest: list[tuple] = []
 
@@ -158,7 +210,7 @@ def pack(docs: DataFrame, spec: PackSpec | None = None) -> DataFrame:
             data, offs = utf8(batch.column("text"))
             raw, at = data.tobytes(), offs.tolist()
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), at, at[1:]):
-                ids = np.array([*token_ids(enc, raw[a:b].decode()), spec.end_id], "<u4")
+                ids = np.array([*ids_of(raw[a:b].decode()), spec.end_id], "<u4")
                 n, i = len(ids), 0
                 while n - i >= spec.window:
                     full.append((doc, i, spec.window, ids[i : i + spec.window].tobytes(), n, made, 0))

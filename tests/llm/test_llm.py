@@ -421,7 +421,6 @@ def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_path())
-    tok.encode_special_tokens = True
     seen, fill = defaultdict(list), defaultdict(list)
     for r in packing.pack(docs).collect():
         ids = np.frombuffer(bytes(r["ids"]), "<u4")
@@ -447,13 +446,39 @@ def test_same_ids_as_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_path())
-    tok.encode_special_tokens = True
-    enc = packing.encoding(packing.default_path())
+    ids = packing.token_ids(packing.default_path())
     rng = random.Random(0)
-    texts = ["<|endoftext|> it's I'LL we've", "\n \n  x\t\ty  z\x85q\x1cw", "ab" * 3000, " " * 500, "日本語 ½²Ⅷ ñandú é \U0001f600"]
-    texts += ["".join(rng.choice("aB é'st\n\t  .,!12½ \x1f日") for _ in range(200)) for _ in range(200)]
+    texts = ["<|endoftext|> it's I'LL we've", "\n \n  x\t\ty  z\x85q\x1cw", "ab" * 3000, " " * 500, "日本語 ½²Ⅷ ñandú é \U0001f600"]
+    texts += ["".join(rng.choice("aB é'st\n\t  .,!12½ \x1f日") for _ in range(200)) for _ in range(200)]
     for t in texts:
-        assert enc.encode_ordinary(t) == tok.encode(t, add_special_tokens=False).ids
+        assert ids(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_ids_of_very_long_runs(monkeypatch):
+    """Runs of a million characters, at the ends of a text, between words and before an added token."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_path())
+    ids = packing.token_ids(packing.default_path())
+    m = 1_000_000
+    for t in (" " * m + "a", "a" + "\n" * m, "a" + " \n" * (m // 2) + "\tb", "x" * m, " " * m + "<|endoftext|> b", "1" * m + "\u3000" * 30_000 + " é" + "\xa0" * 30_000):
+        assert ids(t) == tok.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "LONG_RUN", 3)
+    short, rng = packing.TokenIds(packing.default_path()), random.Random(5)
+    for _ in range(500):
+        t = "".join(rng.choice(["   ", "\n", " ", "\t", "\x85", "\x1c", "\u2028", "a", "é", "'s", "1", "!", "<|endoftext|>"]) for _ in range(40))
+        assert short(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files(tmp_path):
+    """A file that isn't plain byte-level BPE is left to the tokenizers library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = packing.TokenIds(path)
+    assert other.slow is not None and packing.TokenIds(packing.default_path()).slow is None
+    assert other("Some Words, 12") == Tokenizer.from_file(path).encode("Some Words, 12", add_special_tokens=False).ids
 
 
 def test_added_tokens_in_texts(spark):
@@ -461,13 +486,13 @@ def test_added_tokens_in_texts(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_path())
-    enc = packing.encoding(packing.default_path())
+    ids = packing.token_ids(packing.default_path())
     rng = random.Random(4)
     texts = ["abc <|endoftext|> def", "<|endoftext|>", "a  <|endoftext|>\n\n <|endoftext|><|endoftext|>b", "<|endoftext|", "<|ENDOFTEXT|>"]
     texts += ["".join(rng.choice(["<|endoftext|>", "<|", "a", "é", " ", "\n", "'s", "1"]) for _ in range(50)) for _ in range(200)]
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert want[0] == [39305, 220, 50256, 825]
-    assert [packing.token_ids(enc, t) for t in texts] == want
+    assert [ids(t) for t in texts] == want
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     got = {r["doc_id"]: (np.frombuffer(bytes(r["ids"]), "<u4").tolist(), r["doc_tokens"]) for r in rows}
     assert got == {i: ([*w, 0], len(w) + 1) for i, w in enumerate(want)}
@@ -573,8 +598,8 @@ def test_pipeline(spark, docs, tmp_path):
     for r in plan.itertuples():
         assert copies[r.doc_id] == -(-r.taken // r.size) if r.size else copies[r.doc_id] == 0
     assert set(copies) <= set(by)
-    enc = packing.encoding(packing.default_path())
-    want = Counter(t for x in held["mix_sources"].text for t in [*enc.encode_ordinary(x), 0])
+    ids = packing.token_ids(packing.default_path())
+    want = Counter(t for x in held["mix_sources"].text for t in [*ids(x), 0])
     got = Counter(t for x in held["pack"].ids for t in np.frombuffer(bytes(x), "<u4").tolist())
     assert got == want
     whole = corpus_pipeline.run(spark, path).toPandas()
