@@ -72,7 +72,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for table, name in _CLASSES:
         by = np.maximum(size, 1) if name in ("upper", "symbols", "digits", "non_ascii") else most
         out[name] = per_text(table[data]) / by
-    h = word_hashes(data, starts, ends)
+    h = word_hashes(data, starts, ends)[0]
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     out["repeats"] = np.bincount(doc, same, minlength=n) / most

@@ -5,13 +5,17 @@ first word on, are indexed by hash. Every rolling window of a block's length, of
 every document, probes the index. A repeat of ``window`` words holds a whole
 block of the reference, so each repeat has a hit (an anchor). Anchors are
 extended on both sides: all windows of ``window`` words around an anchor, in the
-document that was hit as in the one that hit, are compared by 96-bit hashes, and
-overlapping windows that agree join to maximal exact repeats.
+document that was hit as in the one that hit, are compared by 128-bit hashes, and
+overlapping windows that agree join to maximal exact repeats. Nothing is removed but by such windows.
 
 Documents are dealt once into chunks (compressed). A chunk sends each hash once,
 however many of its documents have it, with the smallest of them: some three bytes a word
-for probes, some thirteen for a window around an anchor. So a passage that a third of all documents
+for probes, some seventeen for a window around an anchor. So a passage that a third of all documents
 share is one entry a chunk. No pairs are made: a bucket keeps the smallest document for each hash.
+
+Chunks meet in buckets of hashes by way of a tree: ``fan`` chunks at most are merged in each of ``fan`` ranges of
+hashes, and what is left of these goes on to the ranges of the next level in the same form. A chunk or a merged
+group makes ``fan`` rows at most, so rows grow with the corpus and not with its square.
 """
 
 from __future__ import annotations
@@ -26,20 +30,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, pick, tidy, utf8
+from .common import Scratch, parts, pick, tidy, utf8
 from .words import window_hashes, word_hashes, words
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _TOP = np.uint64(1 << 63)
 
 
 @dataclass(frozen=True)
 class RepeatSpec:
-    """window: words of a repeat. chunk_bytes: about so much text is worked on at once."""
+    """window: words of a repeat. chunk_bytes: about so much text is worked on at once. fan: so many chunks or groups are merged at once, in so many ranges of hashes."""
 
     window: int = 50
     chunk_bytes: int = 8 << 20
     flush_bytes: int = 48 << 20
+    fan: int = 2048
 
     @property
     def block(self) -> int:
@@ -105,7 +109,8 @@ def _bundles(docs: DataFrame, chunks: int, spec: RepeatSpec) -> DataFrame:
             yield out()
 
     rows = pick(docs, "doc_id", "text")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    # the partition is in it so that rows that repeat an id and its text don't share one chunk
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
     return rows.mapInArrow(run, "chunk int, blob binary")
 
 
@@ -128,33 +133,33 @@ class Chunk:
         self.ids = key[order]
         self.rank = self.ids.view(np.uint64) ^ _TOP  # unsigned, in the order of ids
         self.data, self.offs = utf8(table["text"])
-        hashes, docs = [], []
+        high, low, docs = [], [], []
         i, n = 0, len(self.ids)
         while i < n:  # a few MB at a time
             j = max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + (2 << 20), side="right")) - 1)
             part, at = self.data[self.offs[i] : self.offs[j]], self.offs[i : j + 1] - self.offs[i]
             starts, ends, doc = words(part, at)
-            hashes.append(word_hashes(part, starts, ends))
+            for held, h in zip((high, low), word_hashes(part, starts, ends, 2)):
+                held.append(h)
             docs.append(doc + i)
             i = j
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.hash = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (high, low)]
         self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         self.count = np.bincount(self.doc, minlength=n)
         self.first = np.concatenate(([0], np.cumsum(self.count)[:-1])) if n else np.zeros(0, np.int64)
 
-    def hashes(self, k: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows of k words that lie in one document, and their hashes."""
-        if len(self.hash) < k:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.concatenate([window_hashes(self.hash[i : i + (1 << 20) + k - 1], k, base) for i in range(0, len(self.hash) - k + 1, 1 << 20)])
-        at = np.flatnonzero(self.doc[: len(h)] == self.doc[k - 1 :])
-        return at, h[at]
-
-
-def _edges(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys of so many bits: buckets are equal ranges of their top 32."""
-    b = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+    def starts(self, k: int) -> np.ndarray:
+        """Where windows of k words that lie in one document begin."""
+        return np.flatnonzero(self.doc[: max(0, len(self.doc) - k + 1)] == self.doc[k - 1 :])
+
+    def hashes(self, k: int, stream: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows of k words that begin there, in order."""
+        out, h, step = np.empty(len(at), np.uint64), self.hash[stream], 1 << 18
+        for i in range(0, len(h) - k + 1, step):
+            a, b = np.searchsorted(at, [i, i + step])
+            if b > a:
+                out[a:b] = window_hashes(h[i : i + step + k - 1], k)[at[a:b] - i]
+        return out
 
 
 def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -169,6 +174,169 @@ def _column(frame: pd.DataFrame, name: str) -> list[bytes]:
     return [bytes(x) for x in frame[name]]
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+class _Probes:
+    """Distinct anchor hashes of a chunk or group: which of them are blocks, of which smallest document, and which stand there more than once."""
+
+    sent = "key binary, own binary, rank binary, many binary"
+    answer = "which binary, least binary"
+
+    def __init__(self, key: np.ndarray, held: np.ndarray, least: np.ndarray, many: np.ndarray):
+        self.key, self.held, self.least, self.many = key, held, least, many
+
+    @property
+    def order_key(self) -> np.ndarray:
+        return self.key
+
+    def packed(self, s: slice) -> tuple:
+        held = self.held[s]
+        return squeeze(self.key[s]), squeeze(np.flatnonzero(held)), pack(self.least[s][held]), squeeze(np.flatnonzero(self.many[s]))
+
+    @classmethod
+    def merged(cls, frame: pd.DataFrame) -> tuple[_Probes, list[np.ndarray]]:
+        """The group of these rows, and where each row's hashes stand in it."""
+        keys = [expand(x) for x in _column(frame, "key")]
+        ends = np.cumsum([len(k) for k in keys])
+        known, inv = np.unique(_joined(keys), return_inverse=True)
+        places = np.split(inv, ends[:-1])
+        least, held = np.full(len(known), ~np.uint64(0)), np.zeros(len(known), bool)
+        times = np.bincount(inv, minlength=len(known))
+        for at, own, rank, many in zip(places, _column(frame, "own"), _column(frame, "rank"), _column(frame, "many")):
+            own = at[expand(own).astype(np.int64)]  # hashes of a row are distinct
+            held[own] = True
+            least[own] = np.minimum(least[own], unpack(rank))
+            times[at[expand(many).astype(np.int64)]] += 1
+        return cls(known, held, least, times > 1), places
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors, and their smallest documents: a block that only its own window hits is no anchor."""
+        return self.held & self.many, self.least
+
+    def read(self, which: np.ndarray, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        least = np.full(len(self.key), ~np.uint64(0))
+        least[which] = _joined([unpack(x) for x in _column(frame, "least")])
+        hit = np.zeros(len(self.key), bool)
+        hit[which] = True
+        return hit, least
+
+    def told(self, at: np.ndarray, answer: tuple[np.ndarray, np.ndarray], row: int) -> tuple | None:
+        i = np.flatnonzero(answer[0][at])
+        return (squeeze(i), pack(answer[1][at[i]])) if len(i) else None
+
+
+class _Windows:
+    """Distinct windows around anchors of a chunk or group, with the smallest document of each."""
+
+    sent = "high binary, low binary, rank binary"
+    answer = "which binary"
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, rank: np.ndarray, ranks: list[np.ndarray] | None = None):
+        self.high, self.low, self.rank, self.ranks = high, low, rank, ranks
+
+    @property
+    def order_key(self) -> np.ndarray:
+        return self.high
+
+    def packed(self, s: slice) -> tuple:
+        return squeeze(self.high[s]), self.low[s].astype("<u8").tobytes(), pack(self.rank[s])
+
+    @classmethod
+    def merged(cls, frame: pd.DataFrame) -> tuple[_Windows, list[np.ndarray]]:
+        highs = [expand(x) for x in _column(frame, "high")]
+        ranks = [unpack(x) for x in _column(frame, "rank")]
+        high, low, rank = _joined(highs), _joined([np.frombuffer(x, "<u8") for x in _column(frame, "low")]), _joined(ranks)
+        order = np.lexsort((rank, low, high))
+        new = _runs(high[order], low[order])
+        inv = np.empty(len(order), np.int64)
+        inv[order] = np.cumsum(new) - 1
+        first = order[new]
+        return cls(high[first], low[first], rank[first], ranks), np.split(inv, np.cumsum([len(h) for h in highs])[:-1])
+
+    def settled(self) -> np.ndarray:
+        return np.zeros(len(self.high), bool)
+
+    def read(self, which: np.ndarray, frame: pd.DataFrame) -> np.ndarray:
+        gone = self.settled()
+        gone[which] = True
+        return gone
+
+    def told(self, at: np.ndarray, answer: np.ndarray, row: int) -> tuple | None:
+        """Windows that a smaller document has: in this group, or elsewhere."""
+        i = np.flatnonzero(answer[at] | (self.rank[at] < self.ranks[row]))
+        return (squeeze(i),) if len(i) else None
+
+
+def _edges(keys: np.ndarray, bits: int, first: int, n: int, buckets: int) -> np.ndarray:
+    """Where each of n buckets from ``first`` on begins in sorted keys of so many bits: all buckets are equal ranges of the top 32."""
+    b = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(b, np.arange(first, first + n + 1, dtype=np.uint64))
+
+
+class _Tree:
+    """The levels by which so many chunks meet in buckets."""
+
+    def __init__(self, chunks: int, fan: int, bits: int):
+        self.fan, self.bits = fan, bits
+        self.radix = []  # buckets that a bucket of the level above is split into
+        while chunks > fan:
+            self.radix.append(fan)
+            chunks = -(-chunks // fan)
+        self.radix.append(chunks)
+
+    def rows(self, group: _Probes | _Windows, level: int, bucket: int, source: int) -> list[tuple]:
+        """(bucket, source, blobs) of a chunk or group for the buckets of a level, below one of the level above."""
+        n = self.radix[level]
+        edge = _edges(group.order_key, self.bits if isinstance(group, _Probes) else 64, bucket * n, n, int(np.prod(self.radix[: level + 1])))
+        return [(bucket * n + b, source, *group.packed(slice(edge[b], edge[b + 1]))) for b in np.flatnonzero(np.diff(edge)).tolist()]
+
+    def read(self, group: _Probes | _Windows, level: int, bucket: int, frame: pd.DataFrame):
+        """What the buckets of a level said about a chunk or group."""
+        n = self.radix[level]
+        edge = _edges(group.order_key, self.bits if isinstance(group, _Probes) else 64, bucket * n, n, int(np.prod(self.radix[: level + 1])))
+        which = [expand(x).astype(np.int64) + edge[b - bucket * n] for b, x in zip(frame["bucket"].tolist(), _column(frame, "which"))]
+        return group.read(_joined(which).astype(np.int64), frame)
+
+    def settle(self, rows: DataFrame, kind: type, level: int = 0) -> DataFrame:
+        """(bucket, source, answers) for the rows of a level."""
+        back = f"bucket int, source int, {kind.answer}"
+        names = [c.split()[0] for c in back.split(", ")]
+
+        def told(frame: pd.DataFrame, group, places: list[np.ndarray], answer) -> pd.DataFrame:
+            out = []
+            for k, (bucket, source, at) in enumerate(zip(frame["bucket"].tolist(), frame["source"].tolist(), places)):
+                found = group.told(at, answer, k)
+                if found:
+                    out.append((bucket, source, *found))
+            tidy()
+            return pd.DataFrame(out, columns=names)
+
+        def leaf(frame: pd.DataFrame) -> pd.DataFrame:
+            group, places = kind.merged(frame)
+            return told(frame, group, places, group.settled())
+
+        if level + 1 == len(self.radix):
+            return rows.groupBy("bucket").applyInPandas(leaf, back)
+
+        def down(frame: pd.DataFrame) -> pd.DataFrame:
+            group, _ = kind.merged(frame)
+            rows = self.rows(group, level + 1, int(frame["bucket"].iloc[0]), int(frame["part"].iloc[0]))
+            return pd.DataFrame(rows, columns=["bucket", "source", *[c.split()[0] for c in kind.sent.split(", ")]])
+
+        def up(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(frame):
+                return pd.DataFrame(columns=names)
+            group, places = kind.merged(frame)
+            return told(frame, group, places, self.read(group, level + 1, int(frame["bucket"].iloc[0]), found))
+
+        rows = rows.withColumn("part", F.floor(F.col("source") / self.fan).cast("int"))
+        below = self.settle(rows.groupBy("bucket", "part").applyInPandas(down, f"bucket int, source int, {kind.sent}"), kind, level + 1)
+        below = below.withColumn("above", F.floor(F.col("bucket") / self.radix[level + 1]).cast("int"))
+        return rows.groupBy("bucket", "part").cogroup(below.groupBy("above", "source")).applyInPandas(up, back)
+
+
 def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
     """doc_id, n_words, n_removed, text for each row; text is the words that stay, joined by one space.
 
@@ -184,152 +352,69 @@ def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // spec.chunk_bytes))
     block, window = spec.block, spec.window
     bits = min(64, 33 + chunks.bit_length())  # so many that few anchors are chance, however large the corpus
+    tree = _Tree(chunks, spec.fan, bits)
 
-    def anchors_of(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of a chunk's rolling windows by key, which of them begin a run of equal keys, and the distinct keys."""
-        at, h = c.hashes(block, _BASES[0])
-        key = h >> np.uint64(64 - bits)
+    def probes_of(c: Chunk) -> tuple[np.ndarray, np.ndarray, _Probes]:
+        """Starts of a chunk's rolling windows by key, which of the distinct keys each has, and these."""
+        at = c.starts(block)
+        key = c.hashes(block, 0, at) >> np.uint64(64 - bits)
         order = np.argsort(key)
         at, key = at[order], key[order]
         new = _runs(key)
-        return at, key, new, key[new]
-
-    def probes(frame: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk(_column(frame, "blob"))
-        at, key, new, keys = anchors_of(c)
-        which = np.cumsum(new) - 1
-        least = np.full(len(keys), ~np.uint64(0))
+        which, key = np.cumsum(new) - 1, key[new]
         own = (at - c.first[c.doc[at]]) % block == 0
+        least, held = np.full(len(key), ~np.uint64(0)), np.zeros(len(key), bool)
         np.minimum.at(least, which[own], c.rank[c.doc[at[own]]])
-        held = np.zeros(len(keys), bool)
         held[which[own]] = True
-        many = np.bincount(which, minlength=len(keys)) > 1
-        edge = _edges(keys, bits, chunks)
-        rows = []
-        for b in np.flatnonzero(np.diff(edge)).tolist():
-            s = slice(edge[b], edge[b + 1])
-            rows.append((b, squeeze(keys[s]), squeeze(np.flatnonzero(held[s])), pack(least[s][held[s]]), squeeze(np.flatnonzero(many[s]))))
-        tidy()
-        out = pd.DataFrame(rows, columns=["bucket", "key", "own", "rank", "many"])
-        out.insert(1, "chunk", int(frame["chunk"].iloc[0]))
-        return out
+        return at, which, _Probes(key, held, least, np.bincount(which, minlength=len(key)) > 1)
 
-    def anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [expand(x) for x in _column(frame, "key")]
-        own = [expand(x).astype(np.int64) for x in _column(frame, "own")]
-        rank = np.concatenate([unpack(x) for x in _column(frame, "rank")])
-        mine = np.concatenate([k[o] for k, o in zip(keys, own)])
-        out = []
-        if len(mine):
-            order = np.lexsort((rank, mine))
-            new = _runs(mine[order])
-            known, least = mine[order][new], rank[order][new]
-            hits, total = [], np.zeros(len(known), np.int64)
-            for k, blob in zip(keys, _column(frame, "many")):
-                j = np.minimum(np.searchsorted(known, k), len(known) - 1)
-                i = np.flatnonzero(known[j] == k)
-                times = np.ones(len(k), np.int64)
-                times[expand(blob).astype(np.int64)] = 2
-                hits.append((i, j[i]))
-                total[j[i]] += times[i]  # keys are distinct
-            for chunk, bucket, (i, k) in zip(frame["chunk"], frame["bucket"], hits):
-                more = total[k] > 1  # a block that only its own window hits is no anchor
-                if more.any():
-                    out.append((int(chunk), int(bucket), squeeze(i[more]), pack(least[k[more]])))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "which", "least"])
-
-    def hashed(c: Chunk, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the chunk's windows (those wanted), and their hashes in two parts, sorted by hash and then document."""
-        start, high = c.hashes(window, _BASES[1])
-        low = c.hashes(window, _BASES[2])[1] >> np.uint64(32)
-        if keep is not None:
-            keep = keep[start]
-            start, high, low = start[keep], high[keep], low[keep]
-        order = np.argsort(high, kind="stable")  # documents are in order of their ids
-        same = np.flatnonzero(high[order][1:] == high[order][:-1])
-        if (low[order][same] != low[order][same + 1]).any():
-            order = np.lexsort((start, low, high))
-        return start[order], high[order], low[order]
-
-    def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "high", "low", "rank"]
-        out = pd.DataFrame(columns=["bucket", "chunk", *names[1:]])
-        if not len(right) or not len(left):
-            return out
-        c = Chunk(_column(left, "blob"))
-        at, key, new, keys = anchors_of(c)
-        edge = _edges(keys, bits, chunks)
-        least = np.full(len(keys), ~np.uint64(0))
-        found = np.zeros(len(keys), bool)
-        for bucket, which, value in zip(right["bucket"], _column(right, "which"), _column(right, "least")):
-            i = expand(which).astype(np.int64) + edge[bucket]
-            found[i], least[i] = True, unpack(value)
-        which = np.cumsum(new) - 1
-        at, least = at[found[which]], least[which[found[which]]]
+    def windows_of(c: Chunk, found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, _Windows]:
+        """Starts of the windows around a chunk's anchors, sorted by hash and then document, which of the distinct ones each is, and these."""
+        at, which, group = probes_of(c)
+        hit, least = tree.read(group, 0, 0, found)
+        at, least = at[hit[which]], least[which[hit[which]]]
         doc = c.doc[at]
         place = at - c.first[doc]
         use = (least < c.rank[doc]) | (place % block == 0)
         at, place = at[use], place[use]
-        edge = np.zeros(len(c.hash) + 1, np.int64)
+        edge = np.zeros(len(c.doc) + 1, np.int64)
         np.add.at(edge, at - np.minimum(place, window - block), 1)
         np.add.at(edge, at + 1, -1)
-        start, high, low = hashed(c, np.cumsum(edge)[:-1] > 0)
-        first = _runs(high, low)
-        high, low, rank = high[first], low[first], c.rank[c.doc[start[first]]]
-        cut = _edges(high, 64, chunks)
-        rows = [(b, squeeze(high[s]), low[s].astype("<u4").tobytes(), pack(rank[s])) for b in np.flatnonzero(np.diff(cut)).tolist() for s in [slice(cut[b], cut[b + 1])]]
+        start = c.starts(window)
+        start = start[np.cumsum(edge)[:-1][start] > 0]
+        high, low = c.hashes(window, 0, start), c.hashes(window, 1, start)
+        order = np.lexsort((low, high))  # stable, and documents are in order of their ids
+        start, high, low = start[order], high[order], low[order]
+        new = _runs(high, low)
+        return start, np.cumsum(new) - 1, _Windows(high[new], low[new], c.rank[c.doc[start[new]]])
+
+    def probes(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = tree.rows(probes_of(Chunk(_column(frame, "blob")))[2], 0, 0, int(frame["chunk"].iloc[0]))
         tidy()
-        if not rows:
-            return out
-        out = pd.DataFrame(rows, columns=names)
-        out.insert(1, "chunk", int(left["chunk"].iloc[0]))
-        return out
+        return pd.DataFrame(rows, columns=["bucket", "source", "key", "own", "rank", "many"])
 
-    def repeats(frame: pd.DataFrame) -> pd.DataFrame:
-        highs = [expand(x) for x in _column(frame, "high")]
-        lows = [np.frombuffer(x, "<u4") for x in _column(frame, "low")]
-        rank = np.concatenate([unpack(x) for x in _column(frame, "rank")])
-        high, low = np.concatenate(highs), np.concatenate(lows)
-        order = np.lexsort((rank, low, high))
-        new = _runs(high[order], low[order])
-        least = np.empty(len(order), np.uint64)
-        least[order] = rank[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        gone, out, i = least < rank, [], 0
-        for chunk, h, w in zip(frame["chunk"], highs, lows):
-            part = gone[i : i + len(h)]
-            i += len(h)
-            if part.any():
-                out.append((int(chunk), squeeze(h[part]), w[part].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "high", "low"])
+    def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["bucket", "source", "high", "low", "rank"]
+        if not len(right) or not len(left):
+            return pd.DataFrame(columns=names)
+        rows = tree.rows(windows_of(Chunk(_column(left, "blob")), right)[2], 0, 0, int(left["chunk"].iloc[0]))
+        tidy()
+        return pd.DataFrame(rows, columns=names)
 
     def kept(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_words", "n_removed", "text"]
         if not len(left):
-            return pd.DataFrame(columns=names)
+            return pd.DataFrame(columns=["doc_id", "n_words", "n_removed", "text"])
         c = Chunk(_column(left, "blob"))
-        start, high, low = hashed(c)
-        new = _runs(high, low)
-        rank = c.rank[c.doc[start]]
-        # within the chunk the first of equal windows stays, unless a smaller document elsewhere has it
-        group = np.maximum.accumulate(np.where(new, np.arange(len(start)), 0)) if len(start) else start
-        gone = rank > rank[group]
+        out = np.zeros(len(c.doc), bool)
         if len(right):
-            h = np.concatenate([expand(x) for x in _column(right, "high")])
-            w = np.concatenate([np.frombuffer(x, "<u4") for x in _column(right, "low")]).astype(np.uint64)
-            order = np.lexsort((w, h))
-            h, w = h[order], w[order]
-            i = np.searchsorted(h, high)
-            while True:  # equal upper parts with different lower ones are passed over
-                j = np.minimum(i, len(h) - 1)
-                same = (i < len(h)) & (h[j] == high)
-                gone |= same & (w[j] == low)
-                if not (same & (w[j] != low)).any():
-                    break
-                i = np.where(same & (w[j] != low), i + 1, i)
-        edge = np.zeros(len(c.hash) + 1, np.int64)
-        np.add.at(edge, start[gone], 1)
-        np.add.at(edge, start[gone] + window, -1)
-        out = np.cumsum(edge)[:-1] > 0
+            anchor = right["least"].notna()
+            start, which, group = windows_of(c, right[anchor])
+            gone = tree.read(group, 0, 0, right[~anchor])[which]
+            gone |= c.rank[c.doc[start]] > group.rank[which]  # in the chunk itself, the smallest document's stays
+            edge = np.zeros(len(c.doc) + 1, np.int64)
+            np.add.at(edge, start[gone], 1)
+            np.add.at(edge, start[gone] + window, -1)
+            out = np.cumsum(edge)[:-1] > 0
         removed = np.bincount(c.doc[out], minlength=len(c.ids))
         raw, offs = c.data.tobytes(), c.offs.tolist()
         texts = []
@@ -344,8 +429,8 @@ def dedup_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame
         return pd.DataFrame({"doc_id": ids, "n_words": c.count, "n_removed": removed, "text": texts})
 
     bundles = _bundles(docs, chunks, spec)
-    found = bundles.groupBy("chunk").applyInPandas(probes, "bucket int, chunk int, key binary, own binary, rank binary, many binary")
-    found = found.groupBy("bucket").applyInPandas(anchors, "chunk int, bucket int, which binary, least binary")
-    found = bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(candidates, "bucket int, chunk int, high binary, low binary, rank binary")
-    found = found.groupBy("bucket").applyInPandas(repeats, "chunk int, high binary, low binary")
-    return bundles.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(kept, "doc_id long, n_words long, n_removed long, text string")
+    found = bundles.groupBy("chunk").applyInPandas(probes, f"bucket int, source int, {_Probes.sent}")
+    anchors = Scratch(spark, "repeats").write(tree.settle(found, _Probes))  # as a table: it is read twice
+    found = bundles.groupBy("chunk").cogroup(anchors.groupBy("source")).applyInPandas(candidates, f"bucket int, source int, {_Windows.sent}")
+    gone = tree.settle(found, _Windows).select("bucket", "source", "which", F.lit(None).cast("binary").alias("least"))
+    return bundles.groupBy("chunk").cogroup(anchors.unionByName(gone).groupBy("source")).applyInPandas(kept, "doc_id long, n_words long, n_removed long, text string")

@@ -139,12 +139,13 @@ def brute_repeats(texts, ids, k=50):
     return out
 
 
-@pytest.mark.parametrize("size", [1 << 20, 4000])
-def test_repeats(docs, odd, none, size):
-    spec = substring.RepeatSpec(chunk_bytes=size)
+@pytest.mark.parametrize(("size", "fan"), [(1 << 20, 2048), (8000, 2048), (8000, 4)])
+def test_repeats(docs, odd, none, size, fan):
+    """One bucket for each chunk, and a tree of several levels."""
+    spec = substring.RepeatSpec(chunk_bytes=size, fan=fan)
     got = {(r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring.dedup_repeats(docs, spec).collect()}
     assert got == set(brute_repeats(list(TEXT.values()), list(TEXT)))
-    if size > 4000:
+    if size > 8000:
         got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.dedup_repeats(odd, spec).collect())
         assert got == Counter([(None, 2, 0), (None, 0, 0), (5, 70, 0), (5, 70, 0), (5, 2, 0), (6, 70, 70)])
         assert substring.dedup_repeats(none, spec).count() == 0
@@ -158,6 +159,47 @@ def test_repeats_of_short_windows(spark):
     assert got == set(brute_repeats([t for _, t in data], [i for i, _ in data], 7))
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse strings and their opposites have equal polynomial hashes modulo 2**64, whatever the base."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    morse = lambda x, y: " ".join(x if bin(i).count("1") % 2 else y for i in range(64))
+    rows = [(1, " ".join([a] * 50)), (2, " ".join([b] * 50)), (3, morse("p", "q")), (4, morse("q", "p")), (5, morse(a, b)), (6, morse(b, a)), (7, " ".join([a] * 51))]
+    rows += [(8, " ".join(["x\0"] * 60)), (9, " ".join(["x"] * 60)), (10, " ".join(["a word"] * 30 + [a]))]
+    got = {(r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring.dedup_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(brute_repeats([t for _, t in rows], [i for i, _ in rows])) and {i: n for i, _, n, _ in got if n} == {7: 51}
+
+
+def test_word_and_window_hashes():
+    from ionweave.llm.words import window_hashes, word_hashes, words
+
+    rng = random.Random(9)
+    every = ["".join(rng.choice("ab\0é") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(3000)]
+    raw = " ".join(every).encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(raw)]))
+    streams = word_hashes(data, starts, ends, 2)
+    for h in streams:
+        assert len(set(zip(every, h.tolist()))) == len(set(every)) == len(set(h.tolist()))
+    assert not set(streams[0].tolist()) & set(streams[1].tolist())
+    short = streams[0][:400] % np.uint64(2)
+    for k in (1, 2, 3, 7, 25, 50):
+        got = window_hashes(short, k)
+        seen = [tuple(short[i : i + k].tolist()) for i in range(len(short) - k + 1)]
+        assert len(got) == len(seen) and len(set(zip(seen, got.tolist()))) == len(set(seen)) == len(set(got.tolist()))
+
+
+def test_rows_between_chunks_grow_with_their_number():
+    """A tree of so many chunks: each chunk and each group sends ``fan`` rows at most at each level."""
+    for chunks, fan in ((10, 16), (4000, 16), (100_000, 64)):
+        tree = substring._Tree(chunks, fan, 50)
+        assert max(tree.radix) <= fan and np.prod(tree.radix) >= chunks
+        sent = [-(-chunks // fan**level) * int(np.prod(tree.radix[: level + 1])) for level in range(len(tree.radix))]
+        assert all(n <= 2 * fan * chunks for n in sent)
+
+
 def test_squeeze():
     for a in ([], [0], [1, 1, 5, 1 << 40, (1 << 64) - 1], list(range(1000))):
         a = np.array(a, np.uint64)
