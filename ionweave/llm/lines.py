@@ -31,11 +31,17 @@ PAIRS = "doc_id long, key binary"
 
 @dataclass(frozen=True)
 class LineSpec:
-    """min_chars: shorter keys are never dropped. min_docs: so many documents make a key common. shard_keys: about so many keys a shard."""
+    """min_chars: shorter keys are never dropped. min_docs: so many documents make a key common. shard_keys: about so many keys a shard.
+
+    batches, returned: how :func:`dedup_lines` fills an index (one in ``returned`` documents leaves and comes back; 0: none).
+    """
 
     min_chars: int = 20
     min_docs: int = 3
     shard_keys: int = 50_000
+    tag_bits: int = 16
+    batches: int = 2
+    returned: int = 16
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -64,22 +70,22 @@ def line_pairs(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
 
 
 class Cuckoo:
-    """A cuckoo filter: two buckets of four 16-bit tags for a key; it can forget keys, and grows when full."""
+    """A cuckoo filter: two buckets of four tags of 16 bits at most for a key; it can forget keys, and grows when full."""
 
-    def __init__(self, bits: int = 10, tags: np.ndarray | None = None):
-        self.bits = bits
+    def __init__(self, bits: int = 10, tags: np.ndarray | None = None, tag_bits: int = 16):
+        self.bits, self.tag_bits = bits, tag_bits
         self.tags = np.zeros((1 << bits, 4), np.uint16) if tags is None else tags
 
     @classmethod
     def load(cls, blob: bytes) -> Cuckoo:
-        return cls(blob[0], np.frombuffer(blob, "<u2", offset=2).reshape(-1, 4).copy())
+        return cls(blob[0], np.frombuffer(blob, "<u2", offset=2).reshape(-1, 4).copy(), blob[1])
 
     def dump(self) -> bytes:
-        return bytes([self.bits, 0]) + self.tags.astype("<u2").tobytes()
+        return bytes([self.bits, self.tag_bits]) + self.tags.astype("<u2").tobytes()
 
     def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tag and both buckets of keys, given as two 64-bit halves each."""
-        tag = (keys[:, 0] >> np.uint64(48)).astype(np.uint16)
+        tag = (keys[:, 0] >> np.uint64(64 - self.tag_bits)).astype(np.uint16)
         tag[tag == 0] = 1
         mask = np.uint64((1 << self.bits) - 1)
         one = keys[:, 1] & mask
@@ -136,10 +142,10 @@ def _halves(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
 
 
-def _built(keys: np.ndarray, at_least: int = 0) -> Cuckoo:
+def _built(keys: np.ndarray, at_least: int = 0, tag_bits: int = 16) -> Cuckoo:
     bits = max(4, int(np.ceil(np.log2(max(1, max(len(keys), at_least)) / 4 / 0.8))))
     while True:
-        made = Cuckoo(bits)
+        made = Cuckoo(bits, tag_bits=tag_bits)
         if made.insert(keys):
             return made
         bits += 1
@@ -170,6 +176,8 @@ class LineIndex:
         keys are distinct, so shards are even however often a line occurs.
         """
 
+        tag_bits = self.spec.tag_bits
+
         def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             at = int((new if len(new) else old)["shard"].iloc[0])
             keys = sorted(bytes(k) for k in new["key"])
@@ -182,7 +190,7 @@ class LineIndex:
                 own.remove(h)
                 blob = own.dump()
             elif own is None:
-                blob = _built(h).dump()
+                blob = _built(h, tag_bits=tag_bits).dump()
             else:
                 blob = own.dump() if own.insert(h if all_new else h[~known]) else None  # None: full
             rows = pd.DataFrame({"shard": at, "key": keys, "known": known, "filter": None})
@@ -194,9 +202,11 @@ class LineIndex:
     def _rebuilt(self, shards: DataFrame) -> DataFrame:
         """Filters of shards that were full, from their exact keys."""
 
+        tag_bits = self.spec.tag_bits
+
         def run(own: pd.DataFrame) -> pd.DataFrame:
             keys = _halves(sorted(bytes(k) for k in own["key"]))
-            return pd.DataFrame({"shard": [int(own["shard"].iloc[0])], "filter": [_built(keys, 2 * len(keys)).dump()]})
+            return pd.DataFrame({"shard": [int(own["shard"].iloc[0])], "filter": [_built(keys, 2 * len(keys), tag_bits).dump()]})
 
         return self._shard(self.counts.select("key")).join(shards.select("shard"), "shard", "left_semi").groupBy("shard").applyInPandas(run, "shard int, filter binary")
 
@@ -284,12 +294,23 @@ def apply_drops(docs: DataFrame, lost: DataFrame, spec: LineSpec = LineSpec()) -
 def dedup_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     """Drops common lines everywhere but in the largest doc_id that holds them: see :func:`apply_drops` for columns.
 
+    The documents come into a :class:`LineIndex` in batches, so the filters tell the lines of
+    a later batch that are new from those to be joined with the counts. Then some
+    documents are taken out and put in again, which leaves the counts as if they had stayed: the
+    result is that of one pass over all documents, by way of insertion and deletion.
+
     A null or empty text is one empty line. Rows that share a doc_id are one
     document when it comes to counting, and lose the same keys; null ids are one
-    document, the smallest. An empty table gives an empty one; other columns are
-    ignored. Documents may later be inserted and deleted with :class:`LineIndex`.
+    document, the smallest. A text of any length is held whole by the task that
+    splits it. An empty table gives an empty one; other columns are ignored.
     """
     rows = pick(docs, "doc_id", "text")
     index = LineIndex(docs.sparkSession, shards_for(rows.count(), spec), spec)
-    index.insert(rows)
+    dealt = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(max(1, spec.batches)))
+    for batch in range(max(1, spec.batches)):
+        index.insert(rows.where(dealt == batch))
+    if spec.returned:
+        some = rows.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(spec.returned)) == 0)
+        index.delete(some)
+        index.insert(some)
     return apply_drops(rows, index.dropped(), spec)

@@ -392,6 +392,44 @@ def test_lines(docs, odd, none):
     assert lines.dedup_lines(odd).count() == 6 and lines.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize(("batches", "returned"), [(1, 0), (3, 0), (2, 2)])
+def test_lines_by_any_batches(spark, docs, batches, returned):
+    spec = lines.LineSpec(batches=batches, returned=returned, shard_keys=40)
+    assert {tuple(r) for r in lines.dedup_lines(docs, spec).collect()} == brute_lines([(r[0], r[1]) for r in ROWS])
+
+
+def test_lines_need_the_filters(spark, docs, monkeypatch):
+    """Filters that know no key at all would leave one count for each batch."""
+    monkeypatch.setattr(lines.LineIndex, "_filtered", without_filters(lines.LineIndex._filtered))
+    got = {tuple(r) for r in lines.dedup_lines(docs, lines.LineSpec(batches=3, returned=0)).collect()}
+    assert got != brute_lines([(r[0], r[1]) for r in ROWS])
+
+
+def without_filters(filtered):
+    return lambda self, keys, gone, all_new=False: filtered(self, keys, gone, all_new).withColumn("known", F.lit(False))
+
+
+def test_line_index_with_filters_of_few_bits(spark):
+    """Random insertions and deletions with tags of four bits, so that a filter is often wrong, against a recount."""
+    rng = random.Random(6)
+    pool = [f"a line of some length, number {i}" for i in range(60)]
+    data = {i: "\n".join(rng.sample(pool, rng.randint(1, 6))) for i in range(40)}
+    frame = lambda ids: spark.createDataFrame([(i, data[i]) for i in ids], "doc_id long, text string")
+    index, held = lines.LineIndex(spark, 2, lines.LineSpec(tag_bits=4)), set()
+    for _ in range(4):
+        come = set(rng.sample(sorted(data), 15))
+        index.insert(frame(sorted(come)))
+        held |= come
+        go = set(rng.sample(sorted(held), 8))
+        index.delete(frame(sorted(go)))
+        held -= go
+        want = defaultdict(set)
+        for i in held:
+            for x in set(data[i].split("\n")):
+                want[lines.line_key(x.encode(), 20)].add(i)
+        assert sorted((bytes(r["key"]), r["n"], r["top"]) for r in index.counts.collect()) == sorted((k, len(v), max(v)) for k, v in want.items())
+
+
 def test_line_index_can_be_undone(spark):
     rng = random.Random(2)
     pool = [f"a line of some length, number {i}" for i in range(30)]
