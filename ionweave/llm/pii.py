@@ -4,8 +4,11 @@ Patterns find protected entities (e-mail and IP addresses, card and phone
 numbers). Then the corpus says how much the other words of their documents reveal: of
 the log2(N / n(e)) bits that tell which of N documents hold entity e, the word t gives
 log2(N n(t,e) / (n(t) n(e))), where n counts whole documents. A word that reveals at least
-``generalise`` of the bits in at least ``support`` documents becomes a placeholder
-wherever it stands in them, one that reveals at least ``remove`` of them goes.
+``generalise`` of the bits in at least ``support`` documents is generalised to its class
+(name, acronym, other word) wherever it stands in them, one that reveals at least ``remove`` of them goes.
+
+Places are running sums over a text's matches, taken in groups, so a text's cost is
+in proportion to its length and matches, up to millions of them.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.peaks import let
 from .common import Scratch, pick, skewed_join
 
 #: Kinds in order, and patterns (fixed values). They find what the plain patterns in README.md find: possessive
@@ -29,6 +33,9 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"\p{L}{4,}+"
+#: So many elements are scanned at once; so many characters are a block of a text that is put together again.
+GROUP, PIECE = 128, 1024
+SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 @dataclass(frozen=True)
@@ -44,19 +51,36 @@ def _for(kind: str, f: Callable[[str, Column], Column]) -> Callable[[Column], Co
     return lambda s: f(kind, s)
 
 
+def _scanned(items: Column, first: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """out(what came before, item) for each item, where step adds an item to what came before.
+
+    Adding to an array copies it, so that is only done within groups, and once for each group.
+    """
+    none = F.array().cast(kind)
+
+    def within(part: Column, before: Column) -> Column:
+        add = lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(out(a["at"], x))).alias("out"))
+        return F.aggregate(part, F.struct(before.alias("at"), none.alias("out")), add, lambda a: a["out"])
+
+    def by_groups(parts: Column) -> Column:
+        carry = lambda a, p: F.struct(F.aggregate(p, a["at"], step).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        before = F.aggregate(parts, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), carry, lambda a: a["out"])
+        return F.flatten(F.zip_with(parts, before, within))
+
+    groups = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / GROUP).cast("int")), lambda g: F.slice(x, g * GROUP + 1, F.lit(GROUP)))
+    return let(items, lambda x: F.when(F.size(x) > 0, let(groups(x), by_groups)).otherwise(none))
+
+
 def _located(text: Column, found: Column, pattern: str) -> Column:
     """Structs (start, end, value) of the matches found, in code points: match and gap lengths summed up."""
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    both = F.when(F.size(found) > 0, F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value")), F.lit(1), F.size(found)))
+    both = F.coalesce(both, F.array().cast("array<struct<gap:string,value:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def span(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
 
-    walked = F.aggregate(F.slice(both, F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    return _scanned(both, F.lit(0), lambda at, x: at + F.length(x["gap"]) + F.length(x["value"]), span, SPANS)
 
 
 def _digits(value: Column) -> Column:
@@ -145,35 +169,45 @@ def disclosures(docs: DataFrame, both: DataFrame, spec: DisclosureSpec) -> DataF
     df = skewed_join(seen, known, ["term"])
     bits = F.log2(F.lit(float(total)) / F.col("n_e"))
     share = 1 - F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / bits
-    return df.where(bits > 0).select("entity", "term", share.alias("share")).where(F.col("share") >= spec.generalise)
+    return df.where(bits > 0).select("entity", "term", F.round(share, 9).alias("share")).where(F.col("share") >= spec.generalise)
 
 
-def _marked(text: Column, shares: Column) -> Column:
-    """(start, end, share) of each word of the text that has a share."""
-    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    both = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), words.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,share:double>>")
+def _class(word: Column) -> Column:
+    """What a word is generalised to: all its capitals, its first one, or none tell the class."""
+    initial = F.substring(word, 1, 1)
+    return F.when(word == F.upper(word), F.lit("[ACRONYM]")).when(initial != F.lower(initial), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        share = F.element_at(shares, F.lower(x["value"]))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), share.alias("share")))
-        return F.struct(end.alias("at"), F.when(share.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(F.slice(both, F.lit(1), F.size(words)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+def _marked(text: Column, shares: Column) -> Column:
+    """(start, end, share, class) of each word of the text that has a share."""
+    every = _located(text, F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), TERM)
+    known = F.transform(every, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(shares, F.lower(w["value"])).alias("share"), _class(w["value"]).alias("class")))
+    return F.filter(known, lambda w: w["share"].isNotNull())
 
 
 def _sanitised(text: Column, spans: Column) -> Column:
-    """The text with spans (start, end, as) replaced, first come first; overlaps go with the earlier one."""
+    """The text with spans (start, end, as) replaced, first come first; overlaps go with the earlier one.
+
+    What stands between spans is taken from short blocks, since a substring is looked for from its text's start.
+    """
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(some, ""), a % PIECE + 1, b - a)).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, s["as"]))).otherwise(acc["out"]).alias("out"))
+    def put(blocks: Column, sorted_spans: Column) -> Column:
+        pairs = _scanned(
+            sorted_spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]),
+            lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["as"].alias("as")), "array<struct<at:int,start:int,as:string>>",
+        )
+        head = F.transform(F.filter(pairs, lambda p: p["start"] >= p["at"]), lambda p: F.concat(between(blocks, p["at"], p["start"]), p["as"]))
+        last = F.array_max(F.transform(sorted_spans, lambda s: s["end"]))
+        return F.concat(F.array_join(head, ""), between(blocks, last, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = let(F.array_sort(spans), lambda s: let(blocks, lambda b: put(b, s)))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
 def sanitise(docs: DataFrame, spec: DisclosureSpec = DisclosureSpec()) -> DataFrame:
@@ -182,10 +216,10 @@ def sanitise(docs: DataFrame, spec: DisclosureSpec = DisclosureSpec()) -> DataFr
     Spans are (start, end, ...) in code points, end exclusive; those of the base kinds are
     what the patterns find, less matches that fail their checks. ``term`` spans are
     words the corpus says reveal an entity of the document, wherever they stand in it
-    (but for those within a span of the base kinds), with the share they reveal.
+    (but for those within a span of the base kinds), with the share they reveal and their class.
     A null text is empty. Rows count as documents, repeated ones too; null ids are
-    kept apart by their texts. An empty table gives an empty one; other columns
-    are ignored.
+    kept apart by their texts. Texts are whole, however long: a million matches in one
+    are located in linear time. An empty table gives an empty one; other columns are ignored.
     """
     rows = pick(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession, "pii")
@@ -205,9 +239,9 @@ def sanitise(docs: DataFrame, spec: DisclosureSpec = DisclosureSpec()) -> DataFr
     df = df.join(hits, df["doc_id"].eqNullSafe(hits["__id"]) & (df["mark"] == hits["__mark"]), "left")
     places = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
     apart = F.filter("term", lambda w: ~F.exists(places, lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
-    df = df.withColumn("term", F.coalesce(apart, F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    df = df.withColumn("term", F.coalesce(apart, F.array().cast("array<struct<start:int,end:int,share:double,class:string>>")))
     marks = [F.transform(k, _for(k, lambda k, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("as")))) for k in KINDS]
-    marks.append(F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= spec.remove, F.lit("")).otherwise(F.lit("[WORD]")).alias("as"))))
+    marks.append(F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= spec.remove, F.lit("")).otherwise(s["class"]).alias("as"))))
     return df.select("doc_id", *KINDS, "term", _sanitised(F.col("__text"), F.concat(*marks)).alias("text"))
 
 

@@ -47,7 +47,7 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.sanitise(documents(spark, sf_dir))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(pii.span_text(pii.KINDS), 256).alias("base_sha256"), pii.span_text([*pii.KINDS, "term"]).alias("spans"), F.size("term").cast("long").alias("n_term"))
+    return out.select("doc_id", *counts, F.sha2(pii.span_text(pii.KINDS), 256).alias("base_sha256"), pii.span_text([*pii.KINDS, "term"]).alias("spans"), F.size("term").cast("long").alias("n_term"), F.sha2("text", 256).alias("sanitised_sha256"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,35 @@ def test_private_base(spark, docs, odd, none):
     assert pii.sanitise(odd).count() == 6 and pii.sanitise(none).count() == 0
 
 
+def test_private_in_linear_time(spark):
+    """Hundreds of thousands of matches in one text, valid or not, and text of more than one byte a character between them."""
+    import time
+
+    card = "4111 1111 1111 1111"
+    rows = [(1, "12, " * 100_000 + "a@b.org"), (2, f"é {card} \U0001f600\n" * 20_000), (3, "1.2.3.4 " * 50_000 + "x" * 1_000_000)]
+    began = time.perf_counter()
+    got = rows_of(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "email", "card", "ip", "text")
+    assert time.perf_counter() - began < 120
+    assert [(s["start"], s["end"]) for s in got[1][0]] == [(400_000, 400_007)] and got[1][3] == "12, " * 100_000 + "[EMAIL]"
+    assert [s["start"] for s in got[2][1]] == list(range(2, 20_000 * 24, 24)) and got[2][3] == "é [CARD] \U0001f600\n" * 20_000
+    assert len(got[3][2]) == 50_000 and got[3][3] == "[IP] " * 50_000 + "x" * 1_000_000
+
+
+def test_private_border_words_stay_whole(spark):
+    """A word that a reach of so many characters would cut in two is judged and kept whole."""
+    rows = [(i, f"aaaa information{'.' * 53} a@b.org") for i in range(4)] + [(10 + i, f"information aaaa of number {i}") for i in range(30)]
+    got = rows_of(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert all(got[i][0] == f"aaaa information{'.' * 53} [EMAIL]" for i in range(4))
+
+
+def test_private_classes(spark):
+    """Words that reveal enough for their class to stand in their place, not enough to go."""
+    told = "Quagga zebra OKAPI"
+    rows = [(i, f"{told} x@y.org") for i in range(6)] + [(10 + i, told if i < 2 else "common things") for i in range(40)]
+    got = rows_of(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert 0.75 <= 1 - np.log2(8 / 6) / np.log2(46 / 6) < 0.9 and got[0][0] == "[NAME] [WORD] [ACRONYM] [EMAIL]" and got[10][0] == told
+
+
 def test_private_terms(spark):
     """Brute force of the disclosure counts, and what the text becomes."""
     rows = [(i, f"Zebra Quagga writes from x@y.org about common things {'apple' if i % 2 else 'pear'}") for i in range(4)]
