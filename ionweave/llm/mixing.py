@@ -5,6 +5,10 @@ equal ranges of keys hold about equally many documents: a source is cut into as
 many ranges as its number of documents asks for, sums of ranges give each range
 its offset, and the sums within a range finish the prefix sum. A hot source is
 many ranges; nothing is gathered by source but one row a range.
+
+Targets are found on a table with a row for each source, however many there are: a
+source gets unit x weight words or its cap, and the unit rises, by sums over
+that table, until all words are shared.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Scratch, pick
+from ..storage import numbered
+from .common import SPACE, WORD, Scratch, pick, skewed_join
 
-SOURCE_LIMIT = 1_000_000
+#: A table of at most so many sources is sent to all tasks.
+FEW_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -30,23 +36,25 @@ class MixSpec:
     range_rows: int = 4096
 
 
-def targets(sizes: list[int], spec: MixSpec = MixSpec()) -> list[float]:
-    """Targets by weight; what is above a source's cap is shared again among the others until none is above."""
-    weights = [spec.weights[i % len(spec.weights)] for i in range(len(sizes))]
-    out, left = [0.0] * len(sizes), spec.share * sum(sizes)
-    free = set(range(len(sizes)))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in sorted(free) if unit * weights[i] > spec.most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = unit * weights[i]
+def targets(sizes: DataFrame, spec: MixSpec, scratch: Scratch) -> DataFrame:
+    """(source, s, n) with __target: by weight; what is above a source's cap is shared again among the others until none is above.
+
+    A source at its cap stays there, since the unit only rises, so each round is one sum over the
+    sources. Sums are of whole numbers, so their order doesn't show.
+    """
+    rows = numbered(sizes, [F.col("source").isNull(), F.col("source")], "__place", scratch)
+    weights = F.array(*[F.lit(float(w)) for w in spec.weights])
+    rows = scratch.write(rows.withColumn("__weight", F.get(weights, (F.col("__place") % len(spec.weights)).cast("int"))).drop("__place"))
+    cap, unit = F.col("s") * spec.most, 0.0
+    while True:
+        full = F.lit(unit) * F.col("__weight") > cap
+        got = rows.agg(F.sum("s").alias("all"), F.sum(F.when(full, F.col("s")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("__weight"))).alias("free")).first()
+        left = spec.share * (got["all"] or 0) - spec.most * (got["full"] or 0)
+        new = left / got["free"] if got["free"] else unit
+        if new <= unit:
             break
-        for i in full:
-            out[i] = spec.most * sizes[i]
-            left -= out[i]
-            free.remove(i)
-    return out
+        unit = new
+    return rows.withColumn("__target", F.when(full, cap).otherwise(F.lit(unit) * F.col("__weight")).cast("double")).drop("__weight")
 
 
 def sized(docs: DataFrame, spec: MixSpec) -> DataFrame:
@@ -54,25 +62,23 @@ def sized(docs: DataFrame, spec: MixSpec) -> DataFrame:
     return docs.withColumns(
         {
             "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "__key": F.shiftrightunsigned(F.xxhash64(F.lit(spec.seed), "doc_id"), 32),
+            "__key": F.shiftrightunsigned(F.xxhash64(F.lit(spec.seed), "doc_id", "text"), 32),
         }
     )
 
 
 def assign(rows: DataFrame, spec: MixSpec) -> DataFrame:
     """Adds __source_size, __target and __taken to rows of :func:`sized`."""
-    spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n")).limit(SOURCE_LIMIT + 1).collect()
-    if len(found) > SOURCE_LIMIT:
-        raise ValueError(f"more than {SOURCE_LIMIT} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    plan = [
-        (r["source"], r["s"], t, int(t // r["s"]) if r["s"] else 0, int(t) - int(t // r["s"]) * r["s"] if r["s"] else 0, -(-r["n"] // spec.range_rows))
-        for r, t in zip(found, targets([r["s"] for r in found], spec))
-    ]
-    table = spark.createDataFrame(plan, "__s string, __source_size long, __target double, __epochs long, __rest long, __ranges long")
-    table = F.broadcast(table) if len(plan) <= 10_000 else table
-    rows = rows.join(table, rows["source"].eqNullSafe(table["__s"])).drop("__s")
+    scratch = Scratch(rows.sparkSession, "mix-sources")
+    sizes = scratch.write(rows.groupBy("source").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n")))
+    plan = scratch.write(targets(sizes, spec, scratch))
+    table = plan.select(
+        "source", F.col("s").alias("__source_size"), "__target",
+        F.when(F.col("s") > 0, F.floor(F.col("__target") / F.col("s"))).otherwise(0).cast("long").alias("__epochs"),
+        F.ceil(F.col("n") / spec.range_rows).alias("__ranges"),
+    ).withColumn("__rest", F.floor("__target") - F.col("__epochs") * F.col("__source_size"))
+    table = F.broadcast(table) if plan.count() <= FEW_SOURCES else table
+    rows = skewed_join(rows, table, ["source"], null_safe=True)
     rows = rows.withColumn("__range", F.shiftright(F.col("__key") * F.col("__ranges"), 32))
     sums = rows.groupBy("source", "__range").agg(F.sum("__size").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
@@ -91,7 +97,8 @@ def mix_plan(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     A source's taken words add up to its target, rounded down: whole epochs, then
     documents in random order up to the exact budget, the last one in part. A null
     text has size 0 and null is a source of its own, last in order. Rows that
-    repeat an id count one by one; an empty table gives an empty one; other columns
+    repeat an id count one by one, and null ids are told apart by their texts; texts of any
+    length are counted whole; an empty table gives an empty one; other columns
     are ignored. The same input gives the same plan.
     """
     scratch = Scratch(docs.sparkSession, "mix")

@@ -293,6 +293,40 @@ def test_private_terms_of_whole_documents(spark):
     assert sorted(got) == sorted((d, *want.get(d, ([], t))) for d, t in rows)
 
 
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Targets in fractions: whoever is above the cap is set to it, and the rest is shared again among the others."""
+    from fractions import Fraction as Q
+
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    fixed = {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        left = Q(share) * sum(sizes.values()) - sum(fixed.values())
+        want = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s: Q(most * sizes[s]) for s in free if want[s] > most * sizes[s]}
+        if not over:
+            return fixed | want
+        fixed |= over
+
+
+def brute_mix(rows):
+    """{doc_id: taken}: each source's documents in the order of their keys, over and over, up to the target's whole words."""
+    sizes, plan = Counter(), {}
+    for _, _, size, source in rows:
+        sizes[source] += size
+    for source, target in brute_targets(sizes).items():
+        own = sorted((key, d, size) for d, key, size, s in rows if s == source)
+        left = int(target)
+        plan |= {d: 0 for _, d, _ in own}
+        while left and sizes[source]:
+            for _, d, size in own:
+                part = min(size, left)
+                plan[d] += part
+                left -= part
+    return plan
+
+
 def test_mix_plan(docs, odd, none):
     got = mixing.mix_plan(docs).collect()
     again = mixing.mix_plan(docs.repartition(5)).collect()
@@ -300,27 +334,43 @@ def test_mix_plan(docs, odd, none):
     size = Counter()
     for d, t, _, s in ROWS:
         size[s] += len(WORD.findall(t or ""))
-    names = sorted([s for s in size if s is not None]) + [None]
-    want = dict(zip(names, mixing.targets([size[s] for s in names])))
+    want = brute_targets(size)
     taken = Counter()
     for r in got:
         assert r["size"] == len(WORD.findall(TEXT[r["doc_id"]])) and 0 <= r["taken"] <= 2 * r["size"]
-        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(float(want[r["source"]]))
         taken[r["source"]] += r["taken"]
-    assert all(taken[s] == int(want[s]) for s in names)
+    assert all(taken[s] == int(want[s]) for s in want)
+    keys = mixing.sized(docs, mixing.MixSpec()).select("doc_id", "__key", "__size", "source").collect()
+    assert {r["doc_id"]: r["taken"] for r in got} == brute_mix([tuple(r) for r in keys])
     assert mixing.mix_plan(odd).count() == 6 and mixing.mix_plan(none).count() == 0
 
 
+def test_mix_many_sources(spark, monkeypatch):
+    """No limit on sources, and the join of a table that isn't sent to all tasks."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(0, 30), f"s{rng.randint(0, 400)}" if i % 50 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = [tuple(r) for r in mixing.sized(df, mixing.MixSpec()).select("doc_id", "__key", "__size", "source").collect()]
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix_plan(df).collect()} == brute_mix(keys)
+
+
 def test_mix_ranges_join_up(spark):
     df = spark.createDataFrame([(i, "w " * (i % 7), "a" if i % 3 else "b") for i in range(500)], "doc_id long, text string, source string")
     one = rows_of(mixing.mix_plan(df), "taken")
     assert one == rows_of(mixing.mix_plan(df, mixing.MixSpec(range_rows=10)), "taken")
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets([10, 1000]) == pytest.approx([20, 1495])
-    assert mixing.targets([0, 0]) == [0, 0] and mixing.targets([]) == []
+def test_targets(spark):
+    def of(sizes):
+        df = spark.createDataFrame([(f"s{i}", n, 1) for i, n in enumerate(sizes)], "source string, s long, n long")
+        return [r["__target"] for r in mixing.targets(df, mixing.MixSpec(), Scratch(spark, "t")).orderBy("source").collect()]
+
+    assert of([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3]) and of([10, 1000]) == pytest.approx([20, 1495])
+    assert of([0, 0]) == [0, 0] and of([]) == []
+    for sizes in ([5, 1, 1, 1000, 3, 0, 7], [1, 1, 1, 1], [0, 10, 0]):
+        assert of(sizes) == pytest.approx([float(x) for _, x in sorted(brute_targets({f"s{i}": n for i, n in enumerate(sizes)}).items())])
 
 
 def test_mixed_rows(docs):
