@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,23 @@ def filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+_ROOTS: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("roots", default=None)
+
+
+@contextlib.contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, all that was written by a :class:`Scratch` made in the meantime: what is returned must not read it."""
+    roots: list[str] = []
+    token = _ROOTS.set(roots)
+    try:
+        yield
+    finally:
+        _ROOTS.reset(token)
+        for root in roots:
+            fs, at = filesystem(spark, root)
+            fs.delete(at, True)
+
+
 class Scratch:
     """Tables that cut lineage and survive lost executors; drop those that are no longer read."""
 
@@ -32,6 +52,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ionweave/{tag}-{uuid.uuid4().hex}"
         self._n = 0
+        if _ROOTS.get() is not None:
+            _ROOTS.get().append(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
