@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import in_fold, parts, pick
 
 UNKNOWN = "und"
+#: Texts with fewer letters than that are too short to be told from chance.
+FEW_LETTERS = 32
 
 
 @dataclass(frozen=True)
@@ -126,6 +128,11 @@ class HyperProfiles:
     langs: tuple[str, ...]
     unit: np.ndarray
 
+    @property
+    def chance(self) -> float:
+        """Three standard deviations of the cosine of vectors that have nothing in common: 3 / sqrt(dim)."""
+        return 3 / self.spec.dim**0.5
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Languages and cosines (at least 0); ``und`` and 0 for a text without a letter."""
         vectors, has = _encoder(self.spec).encode(texts)
@@ -188,3 +195,13 @@ def identify(docs: DataFrame, profiles: HyperProfiles, keep: bool = False) -> Da
     rows = pick(docs, *names)
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in held) + ", lang_pred string, score double")
+
+
+def in_learned_language(identified: DataFrame, profiles: HyperProfiles) -> DataFrame:
+    """The rows of :func:`identify` (with keep) whose text is in a language that was learned.
+
+    Texts without a letter go, and texts whose best cosine is one that any text in other letters
+    reaches by chance; those of fewer than FEW_LETTERS letters can't be told and stay.
+    """
+    short = F.regexp_count("text", F.lit(r"\p{L}")) < FEW_LETTERS
+    return identified.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") > profiles.chance) | short))

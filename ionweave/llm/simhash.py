@@ -23,6 +23,11 @@ from .common import Scratch, parts, pick, skewed_join, utf8
 from .graph import components
 
 
+def mark() -> F.Column:
+    """A hash of a row's text, a null one's that of an empty one."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 @dataclass(frozen=True)
 class SimSpec:
     """tile: so many fingerprints of a key are compared in one task; larger groups are split into pairs of slices."""
@@ -57,16 +62,16 @@ def fingerprint(text: bytes, spec: SimSpec = SimSpec()) -> int:
 
 
 def fingerprints(docs: DataFrame, spec: SimSpec = SimSpec()) -> DataFrame:
-    """doc_id and fp (long: the fingerprint's bits) for each row. No shuffle."""
+    """doc_id, mark (of the text, tells rows of one id apart) and fp (long: the fingerprint's bits) for each row. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
             data, offs = utf8(batch.column("text"))
             raw, at = data.tobytes(), offs.tolist()
             found = np.array([fingerprint(raw[a:b], spec) for a, b in zip(at, at[1:])], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(found.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, "doc_id", "text").withColumn("mark", mark()).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -148,12 +153,13 @@ def links(nodes: DataFrame, scratch: Scratch, spec: SimSpec = SimSpec()) -> Data
 
 
 def near_groups(docs: DataFrame, spec: SimSpec = SimSpec()) -> DataFrame:
-    """doc_id, fp, component_id for each row: component_id is the smallest doc_id that links reach, itself included.
+    """doc_id, mark, fp, root, component_id for each row: component_id is the smallest doc_id that links reach, itself included.
 
     Equal fingerprints are linked. A text without words, or null, has fingerprint
     zero, which is linked like any other; with fewer words than a shingle takes, the
     whole sequence is one shingle. A null doc_id counts for no component; a
-    component of such rows only has component_id null. Repeated rows stay; an
+    component of such rows only has component_id null, and root, a fingerprint of the component, still
+    names it. Repeated rows and texts of any length stay whole; an
     empty table gives an empty one; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -163,5 +169,11 @@ def near_groups(docs: DataFrame, spec: SimSpec = SimSpec()) -> DataFrame:
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = scratch.write(placed)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = scratch.write(skewed_join(placed.select("fp", "root"), least, ["root"]).select("fp", "component_id"))
-    return skewed_join(prints, ids, ["fp"]).select("doc_id", "fp", "component_id")
+    ids = scratch.write(skewed_join(placed.select("fp", "root"), least, ["root"]).select("fp", "root", "component_id"))
+    return skewed_join(prints, ids, ["fp"]).select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def survivors(groups: DataFrame) -> DataFrame:
+    """(doc_id, mark) of one row of each component of :func:`near_groups`: the smallest doc_id, a null one last, then the smallest mark."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    return groups.groupBy("root").agg(first).select("first.doc_id", "first.mark")

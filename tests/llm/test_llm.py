@@ -744,7 +744,8 @@ def test_pipeline(spark, docs, tmp_path):
         if name != "pack":
             assert now.columns == corpus_pipeline.COLUMNS
     ids = set(held["language_id"].doc_id)
-    assert ids == {d for d in TEXT if d not in (200, 201, 202, 204)}
+    assert ids == {d for d in TEXT if d not in (200, 201, 202, 204, 206, 207)}  # 206, 207: one letter, and one word of 60,000 letters
+    assert set(held["language_id"].lang) <= {"de", "en", "fr"}
     best = {}
     for d in ids:
         best[TEXT[d]] = max(d, best.get(TEXT[d], d))
@@ -764,3 +765,50 @@ def test_pipeline(spark, docs, tmp_path):
     whole = corpus_pipeline.run(spark, path).toPandas()
     assert Counter(t for x in whole.ids for t in np.frombuffer(bytes(x), "<u4").tolist()) == want
     assert isinstance(whole, pd.DataFrame) and struct.calcsize("<I") == 4
+
+
+def test_pipeline_rejects_other_languages(spark, docs, tmp_path):
+    """Texts in letters that no learned language has go, however long; all in learned languages stay."""
+    rng = random.Random(12)
+    foreign = [(1000 + i, " ".join("".join(chr(rng.randint(0x3B1, 0x3C9)) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 300))), "en", "src0", 0) for i in range(150)]
+    df = docs.select(*corpus_pipeline.COLUMNS).where("lang is not null").unionByName(spark.createDataFrame([(d, t, None, s, n) for d, t, _, s, n in foreign], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").select("doc_id").collect()}
+    stays = {r[0] for r in ROWS if r[2] and r[1] and r[0] not in (201, 202, 206, 207)}
+    assert stays <= got and sum(d >= 1000 for d in got) <= 3
+
+
+ODD = [(None, "a text of an unknown document", "en", "s", 1), (None, "another text of no id at all", None, None, None), (5, "same id, first text and some more words", "en", "s", 9), (5, "same id, second text which differs wholly", "en", "t", 9)]
+ODD += [(5, "same id, first text and some more words", "en", "s", 9), (6, "same id, first text and some more words", "en", "s", 9), (7, None, None, None, None), (7, None, None, None, None), (8, "", "en", "s", 0), (9, "word " * 200_000, "en", "s", None)]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows and ids, a long text, names that clash, and no rows at all, in each stage."""
+    path = str(tmp_path)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame(ODD, kinds).select("*", *[F.lit("?").alias(c) for c in [*EXTRA, "mark", "root", "component_id", "lang_pred", "__mark", "__id", "__size"]])
+    rows_after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for what, df in (("odd", odd), ("none", odd.limit(0))):
+            out = stage(spark, df, path).toPandas()
+            assert name == "pack" or list(out.columns) == corpus_pipeline.COLUMNS
+            rows_after[name, what] = out
+    assert all(len(x) == 0 for (_, what), x in rows_after.items() if what == "none")
+    key = lambda x: sorted(((-1 if pd.isna(d) else int(d)), (t or "")[:20]) for d, t in zip(x.doc_id, x.text))
+    assert key(rows_after["language_id", "odd"]) == key(pd.DataFrame([r for r in ODD if r[1]], columns=corpus_pipeline.COLUMNS))
+    assert key(rows_after["exact_dedup", "odd"]) == [(-1, "a text of an unknown"), (-1, "another text of no i"), (5, "same id, second text"), (6, "same id, first text "), (8, ""), (9, "word word word word ")]
+    near = key(rows_after["near_dedup", "odd"])
+    assert near == [(-1, "a text of an unknown"), (-1, "another text of no i"), (5, "same id, first text "), (5, "same id, second text"), (7, ""), (9, "word word word word ")]
+    assert sum(len(WORD.findall(t)) for t in rows_after["mix_sources", "odd"].text) >= 200_000
+    assert (rows_after["pack", "odd"].start == 0).sum() == len(ODD)
+
+
+def test_pipeline_drops_what_it_wrote(spark, docs, tmp_path):
+    from ionweave.storage import filesystem, shared_dir
+
+    path = str(tmp_path)
+    docs.select(*corpus_pipeline.COLUMNS).write.parquet(f"{path}/documents.parquet")
+    fs, at = filesystem(spark, f"{shared_dir(spark)}/ionweave")
+    seen = {s.getPath().getName() for s in fs.listStatus(at)}
+    out = corpus_pipeline.run(spark, path)
+    left = {s.getPath().getName() for s in fs.listStatus(at)} - seen
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-") and out.count() > 0
