@@ -250,7 +250,7 @@ class LineIndex:
         self._swap("pairs", self.pairs.join(ids, "doc_id", "left_anti"))
         less = gone.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("doc_id").alias("t"))
         changed = self.scratch.write(self.counts.join(less, "key").select("key", (F.col("n") - F.col("m")).alias("n"), "top", "t"))
-        next_top = self.pairs.join(changed.where("n > 0 and top = t").select("key"), "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("next"))
+        next_top = skewed_join(self.pairs, changed.where("n > 0 and top = t").select("key"), ["key"], "left_semi").groupBy("key").agg(F.max("doc_id").alias("next"))
         live = changed.where("n > 0").join(next_top, "key", "left").select("key", "n", F.when(F.col("top") == F.col("t"), F.col("next")).otherwise(F.col("top")).alias("top"))
         self._swap("counts", self.counts.join(changed, "key", "left_anti").unionByName(live))
         dead = self._filtered(changed.where("n <= 0"), gone=True).where("key is null").select("shard", "filter")
