@@ -13,7 +13,7 @@ from .plans.pipeline import run
 
 
 def main(args: list[str] | str | None = None) -> int:
-    logging.basicConfig(stream=sys.stderr, level=logging.INFO, format="{asctime} {levelname} {name}: {message}", style="{")
+    logging.basicConfig(stream=sys.stderr, level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     settings = parse(args)
     log = logging.getLogger("ionweave")
     log.info("ionweave %s", __version__)

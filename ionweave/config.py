@@ -16,6 +16,7 @@ class Settings:
     """Names and defaults are those users of the command line know.
 
     exempt_last_block: leave the last block of each charge whole, however large.
+    parts: write results as folders of parts, by all tasks, and not as single files.
     """
 
     input_filenames: tuple[str, ...] = ()
@@ -39,6 +40,7 @@ class Settings:
     max_peaks_used: int | None = 50
     scaling: str = "off"
     exempt_last_block: bool = False
+    parts: bool = False
 
     def __post_init__(self) -> None:
         if self.linkage not in LINKAGES:
@@ -56,27 +58,21 @@ class Settings:
         except AttributeError:
             raise KeyError(name) from None
 
-    def staging_key(self) -> str:
-        """A digest of all that decides what the staged spectra are."""
-        names = ("input_filenames", "min_peaks", "min_mz_range", "min_mz", "max_mz", "fragment_tol", "remove_precursor_tol", "min_intensity", "max_peaks_used", "scaling")
-        return hashlib.sha256(repr([(n, self[n]) for n in names]).encode()).hexdigest()[:16]
-
-
-class _Lines(argparse.HelpFormatter):
-    """Keeps line breaks of the description."""
-
-    def _fill_text(self, text: str, width: int, indent: str) -> str:
-        return "\n".join(super(_Lines, self)._fill_text(line, width, indent) for line in text.splitlines())
+    def staging_key(self, files: list[tuple[str, int, int]]) -> str:
+        """A digest of all that decides what the staged spectra are. files: path, length and time of change of each that is read."""
+        names = ("min_peaks", "min_mz_range", "min_mz", "max_mz", "fragment_tol", "remove_precursor_tol", "min_intensity", "max_peaks_used", "scaling")
+        return hashlib.sha256(repr([sorted(files), *[(n, self[n]) for n in names]]).encode()).hexdigest()[:16]
 
 
 def parser() -> argparse.ArgumentParser:
     d = Settings()
-    p = argparse.ArgumentParser(prog="ionweave", description="Clustering of tandem mass spectra on Spark.\nSettings may also stand in a file (name = value), by default config.ini.", formatter_class=_Lines)
+    p = argparse.ArgumentParser(prog="ionweave", description="Clustering of tandem mass spectra on Spark.\nSettings may also stand in a file (name = value), by default config.ini.", formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("-c", "--config", help="settings file")
     p.add_argument("input_filenames", nargs="+", help="peak files (.mgf, .mzML, .mzXML); patterns are expanded")
     p.add_argument("output_filename", help="stem of the output files")
     p.add_argument("--work_dir", default=d.work_dir, help="folder of staged spectra (default: a temporary one)")
     p.add_argument("--overwrite", action="store_true", help="replace existing results")
+    p.add_argument("--parts", action="store_true", help="write folders of parts, by all tasks, and not single files")
     p.add_argument("--export_representatives", action="store_true", help="write cluster representatives to an MGF file")
     p.add_argument("--precursor_tol", nargs=2, default=list(d.precursor_tol), help="precursor tolerance and its unit, ppm or Da")
     p.add_argument("--linkage", default=d.linkage, choices=LINKAGES)
@@ -126,7 +122,7 @@ def parse(args: list[str] | str | None = None) -> Settings:
 
 def described(s: Settings) -> list[str]:
     """One line for each setting, as the header of result files has them."""
-    shown = {k: v for k, v in asdict(s).items() if k not in ("input_filenames", "output_filename", "exempt_last_block")}
+    shown = {k: v for k, v in asdict(s).items() if k not in ("input_filenames", "output_filename", "exempt_last_block", "parts")}
     two, three = ("fragment_tol", "min_mz_range", "min_mz", "max_mz", "remove_precursor_tol", "min_intensity"), ("distance_threshold",)
     out = []
     for k, v in shown.items():

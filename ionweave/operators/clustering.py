@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, numbered
+from .graph import components
 from .kernels import linkage_cut, medoids, refine
 
 MIN_SAMPLES = 2
+#: A block with more pairs is split into the connected components of its close pairs before its pairs are gathered.
+MANY_PAIRS = 1_000_000
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -30,14 +33,23 @@ def cluster_blocks(
 
     spectra: block_id, sid, precursor_mz, retention_time. pairs: those of
     :func:`ionweave.operators.similarity.pair_scores`. Blocks without a pair within the threshold
-    never leave the JVM; of others one row with arrays goes to Python, many to a batch, so
-    that memory holds a block, which batch_size bounds. tol None: no refinement.
+    never leave the JVM; of others one row with arrays goes to Python, many to a batch.
+    A block with many pairs is first split into the connected components of its pairs within the threshold,
+    which linkage never crosses, and only pairs inside one are gathered: a task's memory holds a
+    component's pairs and its square of distances. For a threshold of 1 a block is one component. tol None: no refinement.
     """
-    # joined to nothing but the blocks that have something to merge
-    near = pairs.groupBy("block_id").agg(F.min("distance").alias("least"), *[F.collect_list(c).alias(c) for c in ("s1", "s2", "distance")])
+    scratch = Scratch(spectra.sparkSession, "pairs")
+    pairs = scratch.write(pairs.select("block_id", "s1", "s2", "distance"))  # read twice, and a table tells how large it is
+    rows = spectra.select("block_id", "sid", F.col("precursor_mz").cast("double").alias("mz"), F.coalesce("retention_time", F.lit(-1.0)).cast("double").alias("rt"))
+    rows, pairs = rows.withColumn("part", F.lit(-1).cast("long")), pairs.withColumn("part", F.lit(-1).cast("long"))
+    if threshold < 1:
+        large = scratch.write(pairs.groupBy("block_id").count().where(F.col("count") > MANY_PAIRS).select("block_id"))
+        if not large.isEmpty():
+            rows, pairs = _by_components(rows, pairs, large, threshold, scratch)
+    near = pairs.groupBy("block_id", "part").agg(F.min("distance").alias("least"), *[F.collect_list(c).alias(c) for c in ("s1", "s2", "distance")])
     near = near.where(F.col("least") <= threshold) if threshold < 1 else near
-    members = spectra.groupBy("block_id").agg(F.collect_list("sid").alias("sid"), F.collect_list(F.col("precursor_mz").cast("double")).alias("mz"), F.collect_list(F.coalesce("retention_time", F.lit(-1.0)).cast("double")).alias("rt"))
-    both = members.join(near.drop("least"), "block_id", "left")
+    members = rows.groupBy("block_id", "part").agg(*[F.collect_list(c).alias(c) for c in ("sid", "mz", "rt")])
+    both = members.join(near.drop("least"), ["block_id", "part"], "left")
     busy = both.where(F.col("s1").isNotNull() & (F.size("sid") > 1)) if threshold < 1 else both.where(F.size("sid") > 1)
     idle = both.where(F.col("s1").isNull() | (F.size("sid") < 2)) if threshold < 1 else both.where(F.size("sid") < 2)
 
@@ -69,6 +81,18 @@ def cluster_blocks(
     return merged.unionByName(alone)
 
 
+def _by_components(rows: DataFrame, pairs: DataFrame, large: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows and pairs with ``part``: in large blocks the smallest sid of the component (pairs between two components go), else -1."""
+    hot = pairs.join(large, "block_id", "left_semi")
+    root = scratch.write(components(hot.where(F.col("distance") <= threshold).select(F.col("s1").alias("u"), F.col("s2").alias("v")), scratch))
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    inside = hot.join(of("s1"), "s1").join(of("s2"), "s2").where("root_s1 = root_s2").withColumn("part", F.col("root_s1"))
+    placed = rows.join(large, "block_id", "left_semi").join(of("sid"), "sid", "left").withColumn("part", F.coalesce("root_sid", "sid"))
+    keep = ["block_id", "s1", "s2", "distance", "part"]
+    rest = lambda df: df.join(large, "block_id", "left_anti")
+    return rest(rows).unionByName(placed.select(*rows.columns)), rest(pairs).select(*keep).unionByName(inside.select(*keep))
+
+
 def global_labels(clustered: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, cluster, is_representative) with clusters of two and more numbered 0, 1, 2 ..., then the single ones.
 
@@ -76,7 +100,7 @@ def global_labels(clustered: DataFrame, scratch: Scratch) -> DataFrame:
     """
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("block_id").alias("b"))
     keys = numbered(sizes.withColumn("alone", F.col("n") < MIN_SAMPLES), [F.col("alone"), F.col("b"), F.col("cluster")], "label", scratch)
-    return clustered.join(keys.select("cluster", "label"), "cluster").select("sid", F.col("label").cast("int").alias("cluster"), "is_representative")
+    return clustered.join(keys.select("cluster", "label"), "cluster").select("sid", F.col("label").cast("long").alias("cluster"), "is_representative")
 
 
 def summary(clustered: DataFrame) -> DataFrame:

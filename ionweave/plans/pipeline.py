@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import blocking, clustering, preprocess, similarity
 from ..sinks import writers
-from ..sources.readers import read_spectra
-from ..storage import Scratch
+from ..sources.readers import file_states, read_spectra
+from ..storage import Scratch, shared_dir
 
 log = logging.getLogger("ionweave")
 KEY = ["filename", "identifier", "sid"]
@@ -62,8 +62,8 @@ def run(spark: SparkSession, s: Settings) -> int:
     for o in here:
         log.warning("%s is overwritten", o)
         writers.delete(spark, o)
-    work = s.work_dir or tempfile.mkdtemp(prefix="ionweave-")
-    path = f"{work}/spectra/{s.staging_key()}"
+    work = s.work_dir or f"{shared_dir(spark)}/ionweave/staged-{uuid.uuid4().hex}"
+    path = f"{work}/spectra/{s.staging_key(file_states(spark, s.input_filenames))}"
     if s.overwrite and writers.exists(spark, f"{work}/spectra"):
         writers.delete(spark, f"{work}/spectra")
     if writers.exists(spark, f"{path}/_SUCCESS"):
@@ -75,10 +75,10 @@ def run(spark: SparkSession, s: Settings) -> int:
     scratch = Scratch(spark, "run")
     done = scratch.write(cluster_spectra(spectra, s).withColumnRenamed("identifier", "spectrum_id"))
     log.info("%s", clustering.summary(done.select("sid", "cluster")).first())
-    writers.write_cluster_csv(done, outputs[0], s)
+    writers.write_cluster_csv(done, outputs[0], s, single=not s.parts)
     if s.export_representatives:
         heads = done.where("is_representative").withColumnRenamed("spectrum_id", "identifier")
-        writers.write_spectra(heads.orderBy("cluster"), outputs[1])
+        writers.write_spectra(heads.orderBy("cluster"), outputs[1], single=not s.parts)
     if s.work_dir is None:
         writers.delete(spark, work)
     return 0

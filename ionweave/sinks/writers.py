@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,27 +36,48 @@ def delete(spark, path: str) -> None:
     fs.delete(at, True)
 
 
+def write_text(spark, path: str, lines: Iterable[str]) -> None:
+    """One text file on the file system of the path, which ``exists`` and ``delete`` look at too; a few MB are held at a time."""
+    fs, at = filesystem(spark, path)
+    out = fs.create(at, True)
+    held, size = [], 0
+    try:
+        for line in lines:
+            held.append(line)
+            size += len(line)
+            if size > 1 << 22:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
+
+
 def write_cluster_csv(clusters: DataFrame, path: str, s: Settings, single: bool = True) -> None:
     """The settings as comment lines, a header line, then one line for each spectrum in natural order.
 
-    single: one local file, written from partitions that come to the driver one after the other.
+    single: one file, written from partitions that come to the driver one after the other.
     Otherwise a folder of sorted parts, each with a header line, and the settings in ``_settings`` next to them.
     """
     rows = natural_order(clusters.select(*RESULT_COLUMNS))
     if not single:
         rows.write.mode("error").option("header", True).csv(path)
-        spark = clusters.sparkSession
-        fs, at = filesystem(spark, f"{path}/_settings")
-        out = fs.create(at, True)
-        out.write(bytearray("\n".join(header(s)).encode()))
-        out.close()
+        write_text(clusters.sparkSession, f"{path}/_settings", ["\n".join(header(s))])
         return
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write("\n".join(header(s)) + "\n")
-        out = csv.writer(f, lineterminator="\n")
+
+    def lines() -> Iterable[str]:
+        yield "\n".join(header(s)) + "\n"
+        text = io.StringIO()
+        out = csv.writer(text, lineterminator="\n")
         out.writerow(RESULT_COLUMNS)
         for row in rows.toLocalIterator(prefetchPartitions=True):
             out.writerow(["" if v is None else v for v in row])
+            yield text.getvalue()
+            text.seek(0)
+            text.truncate()
+        yield text.getvalue()
+
+    write_text(clusters.sparkSession, path, lines())
 
 
 def _number(x: Column) -> Column:
@@ -82,15 +105,28 @@ def write_spectra(spectra: DataFrame, path: str, single: bool = True) -> None:
     if not single:
         text.write.mode("error").text(path)
         return
-    with open(path, "w", encoding="utf-8") as f:
-        for row in text.toLocalIterator(prefetchPartitions=True):
-            f.write(row["value"] + "\n")
+    write_text(spectra.sparkSession, path, (row["value"] + "\n" for row in text.toLocalIterator(prefetchPartitions=True)))
+
+
+#: Bits of a streamed spectrum's ``sid``: batch, partition and row.
+BATCH_BITS, PART_BITS, ROW_BITS = 20, 17, 26
+
+
+def _sid(batch: int | None) -> Column:
+    """A number for each row; of several batches each has its own range, and rows that don't fit into it are an error."""
+    own = F.monotonically_increasing_id()
+    if batch is None:
+        return own
+    part, row = F.shiftright(own, 33), own.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (part < 1 << PART_BITS) & (row < 1 << ROW_BITS) & F.lit(batch < 1 << BATCH_BITS)
+    number = F.lit(batch << (PART_BITS + ROW_BITS)) + F.shiftleft(part, ROW_BITS) + row
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("too many batches, partitions or rows for a sid")).cast("long"))
 
 
-def stage(spectra: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Cleaned spectra as Parquet with two arrays of peaks and a ``sid``, a folder for each charge."""
+def stage(spectra: DataFrame, path: str, mode: str = "errorifexists", batch: int | None = None) -> None:
+    """Cleaned spectra as Parquet with two arrays of peaks and a ``sid``, a folder for each charge. batch: of a stream, for sids that differ between batches."""
     rows = spectra.select(
-        F.monotonically_increasing_id().alias("sid"), "identifier", F.col("precursor_mz").cast("float").alias("precursor_mz"), "precursor_charge",
+        _sid(batch).alias("sid"), "identifier", F.col("precursor_mz").cast("float").alias("precursor_mz"), "precursor_charge",
         F.transform("peaks", lambda p: p["mz"].cast("float")).alias("mz"), F.transform("peaks", lambda p: p["intensity"].cast("float")).alias("intensity"),
         F.col("retention_time").cast("float").alias("retention_time"), "filename",
     )

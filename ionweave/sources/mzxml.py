@@ -1,4 +1,4 @@
-"""mzXML peak files: the built-in XML source for scans, nested ones too, and a vectorised function for peaks."""
+"""mzXML peak files: text cut at the ends of scans, so that nested scans of any depth are rows, and a vectorised function for peaks."""
 
 from __future__ import annotations
 
@@ -9,21 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schema import PEAKS
+from ..schema import PEAK_ARRAYS, zipped_peaks
 
-DEPTH = 4
-
-
-def _scan(depth: int) -> T.StructType:
-    text = lambda n: T.StructField(n, T.StringType())
-    fields = [
-        text("_num"), text("_msLevel"), text("_retentionTime"),
-        T.StructField("precursorMz", T.ArrayType(T.StructType([text("_VALUE"), text("_precursorCharge")]))),
-        T.StructField("peaks", T.ArrayType(T.StructType([text("_VALUE"), text("_precision"), text("_compressionType")]))),
-    ]
-    return T.StructType([*fields, *([T.StructField("scan", T.ArrayType(_scan(depth - 1)))] if depth else [])])
+#: A scan's start tag with its attributes.
+TAG = r"""^<scan((?:\s+[\w:]+\s*=\s*(?:"[^"]*"|'[^']*'))*+)\s*/?>"""
 
 
 def decode(text: str | None, precision: str | None, compression: str | None) -> np.ndarray | None:
@@ -37,15 +27,17 @@ def decode(text: str | None, precision: str | None, compression: str | None) ->
         return None
 
 
-@F.pandas_udf(PEAKS)
-def _peaks(text: pd.Series, precision: pd.Series, compression: pd.Series) -> pd.Series:
+@F.pandas_udf(PEAK_ARRAYS)
+def _peaks(text: pd.Series, precision: pd.Series, compression: pd.Series) -> pd.DataFrame:
     out = []
     for t, p, c in zip(text, precision, compression):
-        found = decode(t, p, c)
-        if found is not None:
+        found = None if t is None else decode(t, p, c)
+        if found is None:
+            out.append((None, None))
+        else:
             found = found[np.argsort(found[:, 0], kind="stable")]
-        out.append(None if found is None else [{"mz": float(a), "intensity": float(b)} for a, b in found])
-    return pd.Series(out)
+            out.append((found[:, 0], found[:, 1]))
+    return pd.DataFrame(out, columns=["mz", "intensity"])
 
 
 def minutes(duration: Column) -> Column:
@@ -54,24 +46,32 @@ def minutes(duration: Column) -> Column:
     return F.when(duration.startswith("P"), part("H") * 60 + part("M") + part("S") / 60).otherwise(duration.try_cast("double"))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in a tag's text; null without one."""
+    found = F.regexp_extract(tag, rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 0)
+    return F.when(found != "", F.regexp_extract(found, r"""["']([^"']*)["']$""", 1))
+
+
 def read_mzxml(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Spectra of MS level 2 and above with ``bad``; scans may stand in other scans, up to five deep."""
-    df = spark.read.format("xml").option("rowTag", "scan").option("mode", "PERMISSIVE").schema(_scan(DEPTH)).load(",".join(paths))
-    df = df.withColumn("filename", F.col("_metadata.file_path"))
-    names = ["_num", "_msLevel", "_retentionTime", "precursorMz", "peaks", "filename"]
-    level, every = df, None
-    for depth in range(DEPTH + 1):
-        own = level.select(*names)
-        every = own if every is None else every.unionByName(own)
-        if depth < DEPTH:
-            level = level.where(F.size("scan") > 0).select(F.explode("scan").alias("s"), "filename").select("s.*", "filename")
-    df = every.where(F.coalesce(F.col("_msLevel").try_cast("int"), F.lit(-1)) > 1)
-    first, peak = F.get("precursorMz", F.lit(0)), F.get("peaks", F.lit(0))
-    rt = F.when(F.col("_retentionTime").isNull(), F.lit(-1.0)).otherwise(minutes(F.col("_retentionTime"))).cast("float")
+    """Spectra of MS level 2 and above with ``bad``; scans may stand in other scans, however deep.
+
+    A scan's own elements come before the scans in it, so its text goes from its tag to the next
+    scan's tag or the next end of a scan. A scan that a truncated file breaks off has no whole peaks and is bad.
+    """
+    df = spark.read.option("lineSep", "</scan").text(paths).select("value", F.col("_metadata.file_path").alias("filename"))
+    df = df.where(F.contains("value", F.lit("<scan"))).select(F.explode(F.split("value", r"(?=<scan\s)")).alias("s"), "filename")
+    df = df.where(F.col("s").rlike(r"^<scan\s")).withColumn("tag", F.regexp_extract("s", TAG, 1))
+    df = df.where(F.coalesce(_attribute(F.col("tag"), "msLevel").try_cast("int"), F.lit(-1)) > 1)
+    element = lambda name, group: F.regexp_extract("s", rf"<{name}((?:\s[^>]*+)?)>([^<]*+)</{name}", group)
+    has_peaks = F.col("s").rlike(r"<peaks(?:\s[^>]*+)?>[^<]*+</peaks")
+    time = _attribute(F.col("tag"), "retentionTime")
+    rt = F.when(time.isNull(), F.lit(-1.0)).otherwise(minutes(time)).cast("float")
+    of_peaks = element("peaks", 1)
     df = df.select(
-        F.col("_num").alias("identifier"), F.trim(first["_VALUE"]).try_cast("double").cast("float").alias("precursor_mz"),
-        first["_precursorCharge"].try_cast("byte").alias("precursor_charge"),
-        _peaks(peak["_VALUE"], peak["_precision"], peak["_compressionType"]).alias("peaks"), rt.alias("retention_time"), "filename",
+        _attribute(F.col("tag"), "num").alias("identifier"), F.trim(F.regexp_replace(element("precursorMz", 2), r"\s", "")).try_cast("double").cast("float").alias("precursor_mz"),
+        _attribute(element("precursorMz", 1), "precursorCharge").try_cast("byte").alias("precursor_charge"),
+        _peaks(F.when(has_peaks, element("peaks", 2)), _attribute(of_peaks, "precision"), _attribute(of_peaks, "compressionType")).alias("p"), rt.alias("retention_time"), "filename",
     )
+    df = df.select("identifier", "precursor_mz", "precursor_charge", zipped_peaks("p").alias("peaks"), "retention_time", "filename")
     bad = F.col("identifier").isNull() | F.col("precursor_mz").isNull() | F.col("peaks").isNull() | F.col("retention_time").isNull()
     return df.withColumn("bad", bad)

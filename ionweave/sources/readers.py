@@ -15,18 +15,23 @@ from .mzxml import read_mzxml
 FORMATS = {".mgf": read_mgf, ".mzml": read_mzml, ".mzxml": read_mzxml}
 
 
-def expand(spark: SparkSession, patterns: list[str] | tuple[str, ...]) -> list[str]:
-    """Files that match the patterns, on any file system Spark knows; a plain name that doesn't exist is an error."""
+def file_states(spark: SparkSession, patterns: list[str] | tuple[str, ...]) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of the files that match the patterns, on any file system Spark knows; a plain name that doesn't exist is an error."""
     found = []
     for pattern in patterns:
         fs, at = filesystem(spark, pattern)
-        hits = [s.getPath().toString() for s in fs.globStatus(at) or []]
+        hits = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.globStatus(at) or []]
         if not hits and not any(c in pattern for c in "*?[{"):
             raise ValueError(f"no such file: {pattern}")
         found += hits
     return found
 
 
+def expand(spark: SparkSession, patterns: list[str] | tuple[str, ...]) -> list[str]:
+    """Paths of the files that match the patterns: see :func:`file_states`."""
+    return [path for path, _, _ in file_states(spark, patterns)]
+
+
 def extension(path: str) -> str:
     name = path.rsplit("/", 1)[-1].lower()
     return name[name.rfind(".") :] if "." in name else ""

@@ -245,12 +245,103 @@ def test_whole_run(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    """Two micro-batches: each spectrum has a sid of its own, and clusters see both."""
     from ionweave.streaming.ingest import stage_stream, stream_mgf
 
     (tmp_path / "in").mkdir()
     writers.write_spectra(spectra(spark, [(500.0, 2, wide(), 0.0), (400.0, None, wide(), 0.0), (400.0, None, wide(2), 0.0)]), str(tmp_path / "in/a.mgf"))
-    stage_stream(stream_mgf(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/batch=0")).count() == 2
+    writers.write_spectra(spectra(spark, [(500.0, 2, wide(), 0.0), (500.0, 2, wide(), 0.0)]), str(tmp_path / "in/b.mgf"))
+    stage_stream(stream_mgf(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    df = spark.read.parquet(str(tmp_path / "out")).withColumn("peaks", F.arrays_zip("mz", "intensity"))
+    got = df.select("sid", "batch").collect()
+    assert len(got) == 4 == len({r["sid"] for r in got}) and {r["batch"] for r in got} == {0, 1}
+    labels = pipeline.cluster_spectra(df, Settings()).collect()
+    assert len(labels) == 4 and len({r["cluster"] for r in labels}) == 2
+
+
+def test_charges_that_cannot_be(spark, tmp_path):
+    (tmp_path / "a.mgf").write_text("".join(f"BEGIN IONS\nTITLE=t{c}\nPEPMASS=400\nCHARGE={c}\n100 1\nEND IONS\n" for c in ("300+", "2+", "x", "3-", "")))
+    got = {r["identifier"]: (r["precursor_charge"], r["bad"]) for r in read_spectra(spark, [str(tmp_path / "a.mgf")], keep_bad=True).collect()}
+    assert got == {"t300+": (None, True), "t2+": (2, False), "tx": (None, True), "t3-": (-3, False), "t": (None, False)}
+
+
+def test_parameters_of_a_whole_mgf_file(spark, tmp_path):
+    record = lambda t, more="": f"BEGIN IONS\nTITLE={t}\nPEPMASS=400\n{more}100 1\nEND IONS\n"
+    (tmp_path / "a.mgf").write_text("# made by x\nCHARGE=3+\nRTINSECONDS=7\n\n" + record("a") + record("b", "CHARGE=2+\n") + "CHARGE=4+\n" + record("c"))
+    (tmp_path / "b.mgf").write_text("MASS=Monoisotopic\n" + record("d"))
+    got = {r["identifier"]: (r["precursor_charge"], r["retention_time"]) for r in read_spectra(spark, [str(tmp_path / "*.mgf")]).collect()}
+    assert got == {"a": (3, 7.0), "b": (2, 7.0), "c": (3, 7.0), "d": (None, -1.0)}
+
+
+def test_mzml_parameter_groups_and_truncated_files(spark, tmp_path):
+    shared = f'<referenceableParamGroupList><referenceableParamGroup id="g">{cv("ms level", 2)}</referenceableParamGroup><referenceableParamGroup id="h">{cv("64-bit float")}{cv("zlib compression")}</referenceableParamGroup></referenceableParamGroupList>'
+    ref = lambda i: f'<referenceableParamGroupRef ref="{i}"/>'
+    own = mzml_spectrum("own", 2)
+    grouped = mzml_spectrum("grouped", None).replace("<scanList", ref("g") + "<scanList", 1).replace(cv("64-bit float") + cv("zlib compression"), ref("h"))
+    (tmp_path / "a.mzML").write_text(f"<mzML>{shared}<run><spectrumList>{grouped}{own}{mzml_spectrum('first', 1)}</spectrumList></run></mzML>")
+    (tmp_path / "b.mzML").write_text(f"<mzML><run><spectrumList>{mzml_spectrum('whole', 2)}{mzml_spectrum('broken', 2)[:-60]}")
+    got = {r["identifier"]: [p["mz"] for p in r["peaks"]] for r in read_spectra(spark, [str(tmp_path / "*.mzML")]).collect()}
+    assert got == dict.fromkeys(("own", "grouped", "whole"), [100.0, 200.0, 300.0])
+
+
+def test_mzxml_of_any_depth(spark, tmp_path):
+    text = base64.b64encode(struct.pack(">4f", 100, 1, 200, 2)).decode()
+    scan = lambda i, inner: f"""<scan num="{i}"\n msLevel='2' filterLine="a > b"><scanOrigin parentFileID="x" num="77"/><precursorMz\n precursorCharge="2">44{i}.5</precursorMz><peaks precision="32">{text}</peaks>{inner}</scan>"""
+    deep = ""
+    for i in range(9, 0, -1):
+        deep = scan(i, deep)
+    (tmp_path / "a.mzXML").write_text(f'<mzXML><msRun>{deep}<scan num="20" msLevel="2"><precursorMz>1</precursorMz><peaks precision="32"/></scan></msRun></mzXML>')
+    (tmp_path / "b.mzXML").write_text(f"<mzXML><msRun>{scan(30, '')}" + scan(31, "")[:-20])
+    got = {r["identifier"]: r for r in read_spectra(spark, [str(tmp_path / "*.mzXML")], keep_bad=True).collect()}
+    assert sorted(got, key=int) == [*map(str, range(1, 10)), "20", "30", "31"] and [k for k in got if got[k]["bad"]] in (["20", "31"], ["31", "20"])
+    for i in (1, 5, 9, 30):
+        assert (got[str(i)]["precursor_mz"], got[str(i)]["precursor_charge"], len(got[str(i)]["peaks"])) == (pytest.approx(float(f"44{i}.5")), 2, 2)
+
+
+def test_staging_sees_changed_files(spark, tmp_path):
+    from ionweave.sources.readers import file_states
+
+    s = Settings(input_filenames=(str(tmp_path / "*.mgf"),))
+    key = lambda: s.staging_key(file_states(spark, s.input_filenames))
+    (tmp_path / "a.mgf").write_text("x")
+    one = key()
+    assert one == key()
+    (tmp_path / "a.mgf").write_text("xy")
+    two = key()
+    (tmp_path / "b.mgf").write_text("x")
+    assert len({one, two, key()}) == 3
+
+
+def test_results_as_parts(spark, tmp_path):
+    writers.write_spectra(spectra(spark, [(500.0, 2, wide(), float(i)) for i in range(4)]), str(tmp_path / "in.mgf"))
+    args = [str(tmp_path / "in.mgf"), str(tmp_path / "out"), "--export_representatives", "--parts"]
+    assert pipeline.run(spark, parse(args)) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "out.csv/part-*")).count() == 4
+    assert "".join(p.read_text() for p in (tmp_path / "out.mgf").glob("part-*")).count("BEGIN IONS") == 1
+    assert (tmp_path / "out.csv/_settings").read_text().startswith("# ionweave version")
+    assert pipeline.run(spark, parse(args)) == 1
+
+
+def test_large_blocks_are_split_into_components(spark, monkeypatch):
+    """One block of many spectra with few similar pairs: no row holds the block, and labels are those of the whole block."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    sid = spark.createDataFrame([(7, i, 400.0, 0.0) for i in range(n)], "block_id long, sid long, precursor_mz double, retention_time double")
+    every = {(3 * i, 3 * i + 1): 0.05 + 0.01 * (i % 7) for i in range(n // 3)} | {(3 * i + 1, 3 * i + 2): 0.08 for i in range(0, n // 3, 2)}
+    for _ in range(60_000):
+        a, b = sorted(rng.integers(0, n, 2).tolist())
+        if a < b:
+            every.setdefault((a, b), 0.5 + rng.random() / 2)
+    pairs = spark.createDataFrame([(7, a, b, d) for (a, b), d in every.items()], "block_id long, s1 long, s2 long, distance double")
+    for how in ("complete", "average"):
+        monkeypatch.setattr(clustering, "MANY_PAIRS", 1_000_000)
+        whole = sorted(map(tuple, clustering.cluster_blocks(sid, pairs, how, 0.1).collect()))
+        monkeypatch.setattr(clustering, "MANY_PAIRS", 1000)
+        assert sorted(map(tuple, clustering.cluster_blocks(sid, pairs, how, 0.1).collect())) == whole
+    large = pairs.select("block_id").distinct()
+    rows, inside = clustering._by_components(sid.selectExpr("block_id", "sid", "precursor_mz as mz", "retention_time as rt", "-1L as part"), pairs.withColumn("part", F.lit(-1).cast("long")), large, 0.1, Scratch(spark, "t"))
+    assert rows.count() == n and rows.groupBy("part").count().agg(F.max("count")).first()[0] == 3
+    assert inside.groupBy("part").count().agg(F.max("count")).first()[0] <= 3
 
 
 def test_threshold_of_one_takes_whole_blocks(spark):
