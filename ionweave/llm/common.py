@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import skewed_join  # noqa: F401
 from ..storage import Scratch, shared_dir  # noqa: F401
 
 #: Characters that separate words: space and the ASCII controls 9 to 13.
@@ -79,26 +80,3 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <<
 def in_fold(doc_id: str = "doc_id") -> F.Column:
     """True for held-out documents: crc32 of doc_id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def skewed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
-    """An equi-join whose hot keys Spark can split when it runs.
-
-    Adaptive execution splits a hot partition only if both sides come straight
-    from exchanges that the join itself asked for; where ``right`` is an aggregate
-    by the same keys, Spark would reuse its partitioning instead. So the join is on
-    expressions of the keys, at the price of one more exchange of ``right``. Only
-    hash joins or sort-merge joins result, as Spark sees fit.
-    """
-    kinds = dict(right.dtypes)
-
-    def key(col: F.Column, kind: str) -> F.Column:
-        return col.bitwiseXOR(F.lit(0x5DEECE66D)) if kind == "bigint" else F.concat(col, F.lit("" if kind == "string" else b""))
-
-    rights = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
-    match = None
-    for c in on:
-        a, b = key(left[c], kinds[c]), key(rights[f"__r_{c}"], kinds[c])
-        one = a.eqNullSafe(b) if null_safe else a == b
-        match = one if match is None else match & one
-    return left.join(rights, match, how).drop(*[f"__r_{c}" for c in on])

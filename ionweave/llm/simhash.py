@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import Scratch, parts, pick, skewed_join, utf8
-from .graph import components
 
 
 def mark() -> F.Column:

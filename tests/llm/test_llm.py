@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ionweave.llm import audio, exact, langid, lines, mixing, packing, pii, quality, simhash, substring
 from ionweave.llm.common import Scratch, in_fold
-from ionweave.llm.graph import components
+from ionweave.operators.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
