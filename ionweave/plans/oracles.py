@@ -142,3 +142,11 @@ select sid, label from clusters join numbers using (cluster)""",
 _SCAN = f"""{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks, round(first_mz, 1) first_mz
 from spec join (select sid, count(*) n_peaks, min(mz) first_mz from raw group by sid) using (sid) where sid % 5 <> 0"""
 ORACLES |= {"mzml_scan": _SCAN, "mzxml_scan": _SCAN}
+ORACLES |= {
+    "mzml_parameter_groups": _SCAN,
+    "mzxml_nested": _SCAN,
+    "mgf_file_parameters": f"{RAW} select sid, case when sid % 4 < 2 then coalesce(charge, 5) else charge end charge, n_peaks from spec join (select sid, count(*) n_peaks from raw group by sid) using (sid)",
+    "mgf_bad_records": f"{RAW} select count_if(x) n_bad, count_if(not x) n_good from (select sid % 10 in (1, 2) or (sid % 10 = 0 and charge is not null) x from spec)",
+    "staged_stream": f"{RAW} select charge, count(*) n, count(*) n_sids from spec group by charge",
+    "csv_roundtrip": f"{RAW} select 'f' || r || '.mgf' filename, 's' || pk spectrum_id, charge, round(pmz, 3) precursor_mz, rt retention_time, pk as cluster from spec",
+}

@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 from ..functions import peaks as P
 from ..functions.natural import natural_key
 from ..operators import blocking, clustering, preprocess, similarity, vectors
-from ..sinks.writers import mgf_text
+from ..sinks.writers import mgf_text, write_cluster_csv
 from ..sources.mgf import read_mgf
 from ..sources.mzml import read_mzml
 from ..sources.mzxml import read_mzxml
 from ..storage import Scratch, numbered
+from ..streaming.ingest import stage_stream, stream_mgf
 from .derived import SETTINGS, STRICT, TIGHT, raw_spectra
 from .pipeline import score_and_cluster
 
@@ -159,11 +160,18 @@ def _big_pairs(mz: pd.Series, intensity: pd.Series) -> pd.Series:
     return pd.Series([base64.b64encode(np.stack([a, b], axis=1).astype(">f4").tobytes()).decode() for a, b in zip(mz, intensity)])
 
 
-def _read_back(spark: SparkSession, df: DataFrame, extension: str, text: Column, read) -> DataFrame:
+def _four_files(df: DataFrame, text: Column, path: str, head: Column, tail: str = "") -> None:
+    """Writes one element a line to four files, each from one task, between a head and a tail; no row holds a file."""
+    rows = df.select((F.col("sid") % 4).alias("file"), F.lit(1).alias("at"), text.alias("value"))
+    ends = df.sparkSession.range(4).select(F.col("id").alias("file"), F.explode(F.array(F.struct(F.lit(0).alias("at"), head.alias("value")), F.struct(F.lit(2).alias("at"), F.lit(tail).alias("value")))).alias("e"))
+    rows = rows.unionByName(ends.select("file", "e.at", "e.value"))
+    rows.repartition(4, "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
+
+
+def _read_back(spark: SparkSession, df: DataFrame, extension: str, text: Column, read, head: str = "<run>") -> DataFrame:
     """Writes XML elements to four peak files, reads these and returns what their spectra say."""
     path = f"{Scratch(spark, 'xml').root}/spectra{extension}"
-    files = df.groupBy((F.col("sid") % 4).alias("file")).agg(F.concat(F.lit("<run>"), F.array_join(F.collect_list(text), "\n"), F.lit("</run>")).alias("value"))
-    files.write.partitionBy("file").text(path)
+    _four_files(df, text, path, F.lit(head), "</run>")
     found = read(spark, [path]).where("not bad")
     return found.select(
         F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"), F.round("precursor_mz", 1).cast("double").alias("precursor_mz"),
@@ -176,27 +184,92 @@ def _level(df: DataFrame) -> DataFrame:
     return df.withColumn("level", F.when(F.col("sid") % 5 == 0, 1).otherwise(2 + F.col("sid") % 2).cast("string"))
 
 
-def mzml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _level(raw_spectra(spark, sf_dir))
+def _mzml_text() -> Column:
     cv = lambda name, value: F.concat(F.lit(f'<cvParam name="{name}" value="'), value, F.lit('"/>'))
     array = lambda kind, field: F.concat(F.lit(f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="zlib compression"/><cvParam name="{kind}"/><binary>'), _little(F.transform("peaks", lambda p: p[field])), F.lit("</binary></binaryDataArray>"))
-    text = F.concat(
+    return F.concat(
         F.lit('<spectrum id="'), F.col("sid").cast("string"), F.lit('">'), cv("ms level", F.col("level")), F.lit("<scanList><scan>"), cv("scan start time", F.col("retention_time").cast("string")),
         F.lit("</scan></scanList><precursorList><precursor><selectedIonList><selectedIon>"), cv("selected ion m/z", F.col("precursor_mz").cast("string")),
         F.coalesce(cv("charge state", F.col("precursor_charge").cast("string")), F.lit("")), F.lit("</selectedIon></selectedIonList></precursor></precursorList><binaryDataArrayList>"),
         array("m/z array", "mz"), array("intensity array", "intensity"), F.lit("</binaryDataArrayList></spectrum>"),
     )
-    return _read_back(spark, df, ".mzML", text, read_mzml)
 
 
-def mzxml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _level(raw_spectra(spark, sf_dir))
+def mzml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, _level(raw_spectra(spark, sf_dir)), ".mzML", _mzml_text(), read_mzml)
+
+
+def mzml_parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mzml_scan, with the kind of arrays in a group that each file defines once."""
+    own = '<cvParam name="64-bit float"/><cvParam name="zlib compression"/>'
+    head = f'<run><referenceableParamGroup id="kind">{own}</referenceableParamGroup>'
+    text = F.replace(_mzml_text(), F.lit(own), F.lit('<referenceableParamGroupRef ref="kind"/>'))
+    return _read_back(spark, _level(raw_spectra(spark, sf_dir)), ".mzML", text, read_mzml, head)
+
+
+def _mzxml_text() -> Column:
+    """A scan without its end tag, in which other scans may follow."""
     charge = F.coalesce(F.concat(F.lit(' precursorCharge="'), F.col("precursor_charge").cast("string"), F.lit('"')), F.lit(""))
-    text = F.concat(
+    return F.concat(
         F.lit('<scan num="'), F.col("sid").cast("string"), F.lit('" msLevel="'), F.col("level"), F.lit('" retentionTime="PT'), (F.col("retention_time") * 60).cast("string"), F.lit('S"><precursorMz'), charge, F.lit(">"),
-        F.col("precursor_mz").cast("string"), F.lit('</precursorMz><peaks precision="32" compressionType="none">'), _big_pairs(F.transform("peaks", lambda p: p["mz"]), F.transform("peaks", lambda p: p["intensity"])), F.lit("</peaks></scan>"),
+        F.col("precursor_mz").cast("string"), F.lit('</precursorMz><peaks precision="32" compressionType="none">'), _big_pairs(F.transform("peaks", lambda p: p["mz"]), F.transform("peaks", lambda p: p["intensity"])), F.lit("</peaks>"),
+    )
+
+
+def mzxml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(spark, _level(raw_spectra(spark, sf_dir)), ".mzXML", F.concat(_mzxml_text(), F.lit("</scan>")), read_mzxml)
+
+
+def mzxml_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mzxml_scan, with scans that stand in one another, up to twelve deep."""
+    each = _level(raw_spectra(spark, sf_dir)).select(F.floor(F.col("sid") / 12).alias("g"), F.struct("sid", _mzxml_text().alias("t")).alias("s"))
+    df = each.groupBy("g").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    text = F.concat(F.array_join(F.transform("s", lambda s: s["t"]), ""), F.repeat(F.lit("</scan>"), F.size("s")))
+    return _read_back(spark, df.select(F.col("g").alias("sid"), text.alias("t")), ".mzXML", F.col("t"), read_mzxml)
+
+
+def _mgf_of(df: DataFrame) -> DataFrame:
+    """The MGF text of each spectrum, named by its sid."""
+    return mgf_text(df.withColumn("identifier", F.col("sid").cast("string")), ["sid"])
+
+
+def mgf_file_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of four files give a charge before their first record, which holds for records without one."""
+    path = f"{Scratch(spark, 'mgf').root}/spectra.mgf"
+    _four_files(_mgf_of(raw_spectra(spark, sf_dir)), F.col("value"), path, F.when(F.col("id") < 2, F.lit("CHARGE=5+")).otherwise(F.lit("")))
+    df = read_mgf(spark, [path]).where("not bad")
+    return df.select(F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"), F.size("peaks").cast("long").alias("n_peaks"))
+
+
+def mgf_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of records that can't be read: charges beyond a byte, no title, a mass that isn't a number."""
+    path = f"{Scratch(spark, 'mgf').root}/spectra.mgf"
+    broken = lambda what, to: F.regexp_replace("value", f"(?m)^{what}=.*$", to)
+    at = F.col("sid") % 10
+    value = F.when(at == 0, broken("CHARGE", "CHARGE=300+")).when(at == 1, broken("TITLE", "")).when(at == 2, broken("PEPMASS", "PEPMASS=x")).otherwise(F.col("value"))
+    _mgf_of(raw_spectra(spark, sf_dir)).select(value.alias("value")).write.text(path)
+    return read_mgf(spark, [path]).agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
+
+
+def staged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four files staged by a stream in four micro-batches: spectra and distinct sids of each charge."""
+    root = Scratch(spark, "stream").root
+    _four_files(_mgf_of(raw_spectra(spark, sf_dir)), F.col("value"), f"{root}/in", F.lit(""))
+    stage_stream(stream_mgf(spark, f"{root}/in", 1), f"{root}/out", f"{root}/checkpoint", S).awaitTermination()
+    df = spark.read.schema("sid long, batch int, precursor_charge byte").parquet(f"{root}/out")
+    return df.groupBy(F.col("precursor_charge").cast("long").alias("charge")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sid").alias("n_sids"))
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments as a folder of CSV parts, read again."""
+    path = f"{Scratch(spark, 'csv').root}/clusters.csv"
+    df = raw_spectra(spark, sf_dir).withColumn("cluster", F.floor(F.col("sid") / 3)).withColumnRenamed("identifier", "spectrum_id")
+    write_cluster_csv(df, path, S, single=False)
+    got = spark.read.option("header", True).csv(f"{path}/part-*")
+    return got.select(
+        "filename", "spectrum_id", F.col("precursor_charge").cast("long").alias("charge"), F.round(F.col("precursor_mz").cast("double"), 3).alias("precursor_mz"),
+        F.col("retention_time").cast("double").alias("retention_time"), F.col("cluster").cast("long").alias("cluster"),
     )
-    return _read_back(spark, df, ".mzXML", text, read_mzxml)
 
 
 def _without_precursor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,4 +313,10 @@ QUERIES = {
     "mgf_roundtrip": mgf_roundtrip,
     "mzml_scan": mzml_scan,
     "mzxml_scan": mzxml_scan,
+    "mgf_file_parameters": mgf_file_parameters,
+    "mgf_bad_records": mgf_bad_records,
+    "mzml_parameter_groups": mzml_parameter_groups,
+    "mzxml_nested": mzxml_nested,
+    "staged_stream": staged_stream,
+    "csv_roundtrip": csv_roundtrip,
 }

@@ -84,8 +84,8 @@ def _number(x: Column) -> Column:
     return x.cast("double").cast("string")
 
 
-def mgf_text(spectra: DataFrame) -> DataFrame:
-    """One text (value) for each spectrum: TITLE, PEPMASS, CHARGE unless null, RTINSECONDS, peaks."""
+def mgf_text(spectra: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One text (value) for each spectrum, after the columns to keep: TITLE, PEPMASS, CHARGE unless null, RTINSECONDS, peaks."""
     peaks = F.array_join(F.transform("peaks", lambda p: F.concat_ws(" ", _number(p["mz"]), _number(p["intensity"]))), "\n")
     charge = F.col("precursor_charge").cast("int")
     signed = F.when(charge < 0, F.concat(F.abs(charge).cast("string"), F.lit("-"))).otherwise(F.concat(charge.cast("string"), F.lit("+")))
@@ -94,7 +94,7 @@ def mgf_text(spectra: DataFrame) -> DataFrame:
         F.concat(F.lit("CHARGE="), signed), F.concat(F.lit("RTINSECONDS="), _number(F.coalesce("retention_time", F.lit(-1.0)))),
         F.when(F.size("peaks") > 0, peaks), F.lit("END IONS"), F.lit(""),
     ]
-    return spectra.select(F.concat_ws("\n", *lines).alias("value"))
+    return spectra.select(*(keep or []), F.concat_ws("\n", *lines).alias("value"))
 
 
 def write_spectra(spectra: DataFrame, path: str, single: bool = True) -> None:
