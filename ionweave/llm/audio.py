@@ -1,7 +1,9 @@
 """Audio columns: 8-bit WAV storage, polyphase resampling, log-mel tensors, energy segments.
 
 Each row is worked on alone, in fixed blocks of frames, so equal inputs give
-bit-equal features wherever they run, and memory doesn't grow with a recording.
+bit-equal features under one numeric library with one thread a task, which is how Spark starts its workers
+(other threads or processors may round the last bits of a feature in another way). A task holds
+one recording with its resampled signal, its features and its tensors: some twenty times its bytes.
 """
 
 from __future__ import annotations
