@@ -87,6 +87,7 @@ HEADS = f"""{COMPLETE}, sums as (
   select sid, cluster, row_number() over (partition by cluster order by round(total, 12), sid) = 1 is_representative from sums
 )"""
 
+OF = "select sid, count(*) n_peaks, min(mz) first_mz, round(sum(cast(cast(intensity as float) as double)), 4) total from raw group by sid"
 ROWS = "select sid, mz, round(intensity, 6) intensity"
 
 ORACLES = {
@@ -137,12 +138,54 @@ select cast(sum(n) as bigint) n_spectra, count_if(n > 1) n_clusters, cast(coales
 select sid, label from clusters join numbers using (cluster)""",
     "natural_sort_output": f"{RAW} select 'f' || r || '.mgf' filename, 's' || pk spectrum_id, row_number() over (order by r, pk) - 1 position from spec",
     "bin_vectors": f"{CLEAN} select sid, cast(floor((mz - {LOW!r}::double) / 0.05::double) as bigint) bin, round(sum(x), 6) as value from unit group by all",
-    "mgf_roundtrip": f"{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks from spec join (select sid, count(*) n_peaks from raw group by sid) using (sid)",
+    "mgf_roundtrip": f"{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks, total from spec join ({OF}) using (sid)",
 }
-_SCAN = f"""{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks, round(first_mz, 1) first_mz
-from spec join (select sid, count(*) n_peaks, min(mz) first_mz from raw group by sid) using (sid) where sid % 5 <> 0"""
+_SCAN = f"""{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks, round(first_mz, 1) first_mz, total
+from spec join ({OF}) using (sid) where sid % 5 <> 0"""
+# the best choice among all sets of matches without a common peak, listed match by match within runs of near peaks
+_DENSE = PAIRS.replace("with b as", "with recursive b as", 1).replace("select a.sid s1, b.sid s2, p.x * q.x w", "select a.sid s1, b.sid s2, p.mz m1, q.mz m2, p.x * q.x w").replace("<= 0.05::double", "<= 0.8::double")
+_DENSE += """, points as (
+  select s1, s2, m1 m from matches union select s1, s2, m2 from matches
+), steps as (
+  select *, lag(m) over (partition by s1, s2 order by m) before from points
+), runs as (
+  select s1, s2, m m1, sum(case when m - before > 0.8::double then 1 else 0 end) over (partition by s1, s2 order by m) run from steps
+), listed as (
+  select *, row_number() over (partition by s1, s2, run order by m1, m2) k, count(*) over (partition by s1, s2, run) n from matches join runs using (s1, s2, m1)
+), sets as (
+  select s1, s2, run, 1::bigint k, n, [m1] ls, [m2] rs, w total from listed where k = 1
+  union all
+  select s1, s2, run, 1::bigint k, n, [] ls, [] rs, 0::double total from listed where k = 1
+  union all
+  select s.s1, s.s2, s.run, l.k, s.n, case when take then list_append(s.ls, l.m1) else s.ls end, case when take then list_append(s.rs, l.m2) else s.rs end, s.total + case when take then l.w else 0 end
+  from sets s join listed l on s.s1 = l.s1 and s.s2 = l.s2 and s.run = l.run and l.k = s.k + 1 cross join (values (true), (false)) t(take)
+  where not take or not (list_contains(s.ls, l.m1) or list_contains(s.rs, l.m2))
+), best_sets as (
+  select s1, s2, run, max(total) total, max_by(len(ls), total) n from sets where k = n group by all
+) select s1, s2, cast(sum(n) as bigint) n_match, round(1 - least(1, sum(total)), 6) distance from best_sets group by s1, s2"""
+_LENGTH = """matrix as (
+  select distinct bin, (bin * 7 + r * 11) % 32 as dim, cast((bin + r * 5) % 7 - 3 as double) weight from bins, (values (0), (1), (2)) t(r)
+), projected as (
+  select sid, dim, sum(value * weight) as value from bins join matrix using (bin) group by all
+), lengths as (
+  select *, sqrt(sum(value * value) over (partition by sid)) as length from projected
+)"""
 ORACLES |= {"mzml_scan": _SCAN, "mzxml_scan": _SCAN}
 ORACLES |= {
+    "cosine_assignment_dense": _DENSE,
+    "project_vectors_matrix": f"""{CLEAN}, bins as (
+  select sid, cast(floor((mz - {LOW!r}::double) / 0.05::double) as bigint) bin, sum(x) as value from unit group by all
+), {_LENGTH} select sid, dim, round(case when length > 0 then value / length else value end, 6) + 0.0::double as value from lengths""",
+    "bin_ranges": """with asked as (
+  select range k, cast(50 + 1.7::double * range as float) lo, cast(1500 + 7.3::double * range as float) hi, cast(0.02::double + 0.01::double * (range % 5) as float) w from range(25)
+), snapped as (select k, w, lo - lo % w low, (hi + w) - hi % w high from asked)
+select k, cast(ceil((high - low) / w) as bigint) n_bins, cast(low as double) low, cast(high as double) high from snapped""",
+    "mzml_truncated": _SCAN,
+    "mixed_formats": f"{RAW} select sid, charge, round(pmz, 1) precursor_mz, rt retention_time, n_peaks from spec join ({OF}) using (sid) where sid % 3 = 0 or sid % 5 <> 0",
+    "staged_batches": f"""{CLEAN}, ok as (
+  select sid, count(*) n_peaks from best group by sid having count(*) >= 12 and max(mz) - min(mz) >= 1100
+) select charge, count(*) n, count(*) n_sids, cast(sum(n_peaks) as bigint) n_peaks from ok join spec using (sid) group by charge""",
+    "staging_keys": "select * from (values ('nothing', true), ('cleaning', false), ('clustering', true), ('files', false)) t(changed, reused)",
     "mzml_parameter_groups": _SCAN,
     "mzxml_nested": _SCAN,
     "mgf_file_parameters": f"{RAW} select sid, case when sid % 4 < 2 then coalesce(charge, 5) else charge end charge, n_peaks from spec join (select sid, count(*) n_peaks from raw group by sid) using (sid)",

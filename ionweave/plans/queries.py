@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from ..functions import peaks as P
 from ..functions.natural import natural_key
 from ..operators import blocking, clustering, preprocess, similarity, vectors
-from ..sinks.writers import mgf_text, write_cluster_csv
+from ..sinks.writers import mgf_text, read_stage, stage, write_cluster_csv
 from ..sources.mgf import read_mgf
 from ..sources.mzml import read_mzml
 from ..sources.mzxml import read_mzxml
+from ..sources.readers import file_states, read_spectra
 from ..storage import Scratch, numbered
 from ..streaming.ingest import stage_stream, stream_mgf
 from .derived import SETTINGS, STRICT, TIGHT, raw_spectra
@@ -37,6 +38,11 @@ def _peaks_of(df: DataFrame) -> DataFrame:
     return rows.select("sid", F.col("p.mz").cast("double").alias("mz"), r6(F.col("p.intensity")).alias("intensity"))
 
 
+def _total() -> Column:
+    """The sum of a spectrum's intensities, each in single precision."""
+    return F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"].cast("float").cast("double")), 4)
+
+
 def _on_peaks(f):
     """A query that applies an expression to the peaks of the derived spectra and returns them as rows."""
 
@@ -139,6 +145,21 @@ def project_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("sid").agg(r6(F.sum(F.col("value") * F.col("value"))).alias("length"))
 
 
+def project_vectors_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors by a given sparse matrix: three weights from -3 to 3 for each bin."""
+    v = vectors.bin_vectors(cleaned(spark, sf_dir), LOW, S.fragment_tol)
+    r = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("r")
+    matrix = v.select("bin").distinct().select("bin", r).selectExpr("bin", "(bin * 7 + r * 11) % 32 AS dim", "double((bin + r * 5) % 7 - 3) AS weight")
+    return vectors.project(v, matrix).withColumn("value", r6(F.col("value")))
+
+
+def bin_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of bins and snapped ranges for some settings."""
+    asked = [(k, 50 + 1.7 * k, 1500 + 7.3 * k, 0.02 + 0.01 * (k % 5)) for k in range(25)]
+    rows = [(k, *P.get_dim(low, high, width)) for k, low, high, width in asked]
+    return spark.createDataFrame(rows, "k long, n_bins long, low double, high double")
+
+
 def mgf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mgf")
     path = f"{scratch.root}/spectra.mgf"
@@ -147,6 +168,7 @@ def mgf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"),
         F.round("precursor_mz", 1).cast("double").alias("precursor_mz"), F.col("retention_time").cast("double").alias("retention_time"), F.size("peaks").cast("long").alias("n_peaks"),
+        _total().alias("total"),
     )
 
 
@@ -168,14 +190,15 @@ def _four_files(df: DataFrame, text: Column, path: str, head: Column, tail: str
     rows.repartition(4, "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
 
 
-def _read_back(spark: SparkSession, df: DataFrame, extension: str, text: Column, read, head: str = "<run>") -> DataFrame:
+def _read_back(spark: SparkSession, df: DataFrame, extension: str, text: Column, read, head: str = "<run>", tail: str = "</run>") -> DataFrame:
     """Writes XML elements to four peak files, reads these and returns what their spectra say."""
     path = f"{Scratch(spark, 'xml').root}/spectra{extension}"
-    _four_files(df, text, path, F.lit(head), "</run>")
+    _four_files(df, text, path, F.lit(head), tail)
     found = read(spark, [path]).where("not bad")
     return found.select(
         F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"), F.round("precursor_mz", 1).cast("double").alias("precursor_mz"),
         F.round("retention_time", 1).cast("double").alias("retention_time"), F.size("peaks").cast("long").alias("n_peaks"), F.round(F.col("peaks")[0]["mz"], 1).cast("double").alias("first_mz"),
+        _total().alias("total"),
     )
 
 
@@ -199,6 +222,12 @@ def mzml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, _level(raw_spectra(spark, sf_dir)), ".mzML", _mzml_text(), read_mzml)
 
 
+def mzml_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mzml_scan, of files that end within a spectrum: those before it are read."""
+    tail = '<spectrum id="-1"><cvParam name="ms level" value="2"/><scanList><scan>'
+    return _read_back(spark, _level(raw_spectra(spark, sf_dir)), ".mzML", _mzml_text(), read_mzml, tail=tail)
+
+
 def mzml_parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As mzml_scan, with the kind of arrays in a group that each file defines once."""
     own = '<cvParam name="64-bit float"/><cvParam name="zlib compression"/>'
@@ -251,6 +280,43 @@ def mgf_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_mgf(spark, [path]).agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
 
 
+def mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the spectra each as MGF, mzML and mzXML, found by a pattern and read as one table."""
+    root = Scratch(spark, "mixed").root
+    third = lambda k: _level(raw_spectra(spark, sf_dir).where(F.col("sid") % 3 == k))
+    _four_files(_mgf_of(third(0)), F.col("value"), f"{root}/a.MGF", F.lit(""))
+    _four_files(third(1), _mzml_text(), f"{root}/b.mzML", F.lit("<run>"), "</run>")
+    _four_files(third(2), F.concat(_mzxml_text(), F.lit("</scan>")), f"{root}/c.mzXML", F.lit("<run>"), "</run>")
+    return read_spectra(spark, [f"{root}/*.m*", f"{root}/?.MGF"]).select(
+        F.col("identifier").cast("long").alias("sid"), F.col("precursor_charge").cast("long").alias("charge"), F.round("precursor_mz", 1).cast("double").alias("precursor_mz"),
+        F.round("retention_time", 1).cast("double").alias("retention_time"), F.size("peaks").cast("long").alias("n_peaks"),
+    )
+
+
+def staged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned spectra staged by two writes, the second one added to the first; read again by charge."""
+    path = f"{Scratch(spark, 'staged').root}/spectra"
+    df = cleaned(spark, sf_dir, STRICT)
+    for number, mode in enumerate(("errorifexists", "append")):
+        stage(df.where(F.col("sid") % 2 == number), path, mode, number)
+    found = read_stage(spark, path).groupBy(F.col("precursor_charge").cast("long").alias("charge"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sid").alias("n_sids"), F.sum(F.size("peaks")).alias("n_peaks"))
+
+
+def staging_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether staged spectra may be used again after a change of settings or of files."""
+    root = Scratch(spark, "keys").root
+    rows = _mgf_of(raw_spectra(spark, sf_dir)).select("value")
+    rows.write.text(f"{root}/a")
+    pattern = [f"{root}/*/part-*"]
+    first = S.staging_key(file_states(spark, pattern))
+    files = file_states(spark, pattern)
+    cases = {"nothing": S.staging_key(files), "cleaning": replace(S, min_peaks=7).staging_key(files), "clustering": replace(S, distance_threshold=0.2).staging_key(files)}
+    rows.limit(1).write.text(f"{root}/b")
+    cases["files"] = S.staging_key(file_states(spark, pattern))
+    return spark.createDataFrame([(name, key == first) for name, key in cases.items()], "changed string, reused boolean")
+
+
 def staged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four files staged by a stream in four micro-batches: spectra and distinct sids of each charge."""
     root = Scratch(spark, "stream").root
@@ -310,13 +376,19 @@ QUERIES = {
     "natural_sort_output": natural_sort_output,
     "bin_vectors": bin_vectors,
     "project_vectors": project_vectors,
+    "project_vectors_matrix": project_vectors_matrix,
+    "bin_ranges": bin_ranges,
     "mgf_roundtrip": mgf_roundtrip,
     "mzml_scan": mzml_scan,
     "mzxml_scan": mzxml_scan,
     "mgf_file_parameters": mgf_file_parameters,
     "mgf_bad_records": mgf_bad_records,
+    "mzml_truncated": mzml_truncated,
     "mzml_parameter_groups": mzml_parameter_groups,
     "mzxml_nested": mzxml_nested,
+    "mixed_formats": mixed_formats,
+    "staged_batches": staged_batches,
+    "staging_keys": staging_keys,
     "staged_stream": staged_stream,
     "csv_roundtrip": csv_roundtrip,
 }
