@@ -56,7 +56,7 @@ class AudioSpec:
 PAD_BYTE, PAD_TO = 255, 576
 OUT = (
     "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "n_frames long, tensors binary, segments array<struct<start_s:double,end_s:double>>, feature string"
+    "n_frames long, n_tiles long, span_s double, tensors binary, segments array<struct<start_s:double,end_s:double>>, feature string"
 )
 
 
@@ -182,8 +182,8 @@ def audio_columns(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
 
     Output: one row for each input row, in columns OUT: the media file, digests
     of the payload as read back, log-mel tensors (an Arrow IPC stream, see
-    :func:`read_tensors`), active segments in seconds, and a short digest of the
-    features. Equal texts give equal values.
+    :func:`read_tensors`) with the number of tiles and the end of the last one's time span as read back,
+    active segments in seconds, and a short digest of the features. Equal texts give equal values.
 
     A null text is empty; an empty text is 576 bytes of padding. A null doc_id
     stays null; repeated rows give repeated rows; an empty table gives an empty
@@ -200,17 +200,19 @@ def audio_columns(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
                 media = to_wav(raw[a:b] + bytes([PAD_BYTE]) * ((-n) % PAD_TO if n else PAD_TO), spec.rate)
                 _, back = from_wav(media)
                 mels, seg = features(back, spec)
+                tensors = to_tensors(mels, spec)
+                tiles = read_tensors(tensors)
                 digest = hashlib.sha256(mels.tobytes() + seg.tobytes()).hexdigest()[:16]
                 rows.append(
                     (
-                        n, media, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(mels), to_tensors(mels, spec),
+                        n, media, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(mels), len(tiles), tiles["end_s"][-1].as_py(), tensors,
                         [{"start_s": float(s) * spec.hop_s, "end_s": float(e - 1) * spec.hop_s + spec.frame_s} for s, e in seg],
                         f"frames={len(mels)};segments={len(seg)};mean={mels.mean(dtype=np.float64):.3f};sha={digest}",
                     )
                 )
             cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.string()]
-            names = ["n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "n_frames", "tensors", "segments", "feature"]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.string()]
+            names = ["n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "n_frames", "n_tiles", "span_s", "tensors", "segments", "feature"]
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *names])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, OUT)

@@ -14,6 +14,8 @@ def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "n_frames", F.size("segments").cast("long").alias("n_segments"), F.round(F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["end_s"] - s["start_s"]), 6).alias("active_s"),
+        "n_tiles", F.round("span_s", 6).alias("span_s"), F.length("tensors").cast("long").alias("tensor_bytes"), F.sha2("tensors", 256).alias("tensor_sha256"),
     )
 
 

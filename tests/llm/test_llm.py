@@ -96,7 +96,9 @@ def test_audio(docs, odd, none):
         assert r["payload_sha256"] == hashlib.sha256(want).hexdigest() and r["tail_crc32"] == zlib.crc32(want[-32:])
         table = audio.read_tensors(bytes(r["tensors"]))
         tiles = table["log_mel"].combine_chunks()
-        assert tiles.type == audio.tensor_type() and len(tiles) == -(-r["n_frames"] // 64)
+        assert tiles.type == audio.tensor_type() and len(tiles) == r["n_tiles"] == -(-r["n_frames"] // 64)
+        starts, spans = table["start_s"].to_pylist(), table["end_s"].to_pylist()
+        assert starts == pytest.approx([0.64 * i for i in range(len(tiles))]) and spans[-1] == r["span_s"] == pytest.approx((r["n_frames"] - 1) * 0.01 + 0.025)
         mels, _ = audio.features(want)
         # this process may use more threads than a worker, which changes last bits
         assert np.allclose(tiles.to_numpy_ndarray().reshape(-1, 40)[: r["n_frames"]], mels, atol=1e-3)
