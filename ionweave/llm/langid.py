@@ -47,7 +47,7 @@ def _fold() -> np.ndarray:
     return out
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(30_000)
 def _letter(code: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, code]).integers(0, 2, dim, dtype=np.int8) * 2 - 1
 
@@ -72,10 +72,10 @@ class Encoder:
             if len(self.keys) + len(new) > self.spec.cache:
                 self._clear()
                 new = grams
-            made = np.empty((len(new), d), np.int8)
-            for i, g in enumerate(new.tolist()):
-                a, b, c = _letter(g >> 42, d, s), _letter(g >> 21 & 0x1FFFFF, d, s), _letter(g & 0x1FFFFF, d, s)
-                made[i] = np.roll(a, 2) * np.roll(b, 1) * c
+            letters, at = np.unique(np.stack([new >> np.uint64(21 * (2 - place)) & np.uint64(0x1FFFFF) for place in range(3)]), return_inverse=True)
+            table = np.stack([_letter(c, d, s) for c in letters.tolist()])
+            first, second, third = at.reshape(3, -1)
+            made = np.roll(table, 2, axis=1)[first] * np.roll(table, 1, axis=1)[second] * table[third]
             keys = np.concatenate([self.keys, new])
             order = np.argsort(keys, kind="stable")
             self.keys, self.rows = keys[order], np.concatenate([self.rows, made])[order]
