@@ -24,9 +24,9 @@ def project(vectors: DataFrame, transformation: DataFrame, norm: bool = True) ->
 
 
 def random_projection(bins: DataFrame, dims: int, seed: int = 42) -> DataFrame:
-    """(bin, dim, weight): for each bin one sign in each of a few hash-chosen dimensions, the same in each run."""
+    """(bin, dim, weight): for each bin one sign in each of a few dimensions, chosen by an MD5 of seed, bin and number, the same in each run."""
     k = max(1, round(dims**0.5))
     pick = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("r")
-    h = F.xxhash64(F.lit(seed), "bin", "r")
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("bin").cast("string"), F.col("r").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
     rows = bins.select("bin").distinct().select("bin", pick).select("bin", F.pmod(h, F.lit(dims)).cast("int").alias("dim"), F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0).alias("w"))
     return rows.groupBy("bin", "dim").agg((F.sum("w") / F.lit(float(k) ** 0.5)).alias("weight"))

@@ -163,19 +163,27 @@ _DENSE += """, points as (
 ), best_sets as (
   select s1, s2, run, max(total) total, max_by(len(ls), total) n from sets where k = n group by all
 ) select s1, s2, cast(sum(n) as bigint) n_match, round(1 - least(1, sum(total)), 6) distance from best_sets group by s1, s2"""
-_LENGTH = """matrix as (
+_BINS = f"""bins as (
+  select sid, cast(floor((mz - {LOW!r}::double) / 0.05::double) as bigint) bin, sum(x) as value from unit group by all
+)"""
+_MATRIX = """matrix as (
   select distinct bin, (bin * 7 + r * 11) % 32 as dim, cast((bin + r * 5) % 7 - 3 as double) weight from bins, (values (0), (1), (2)) t(r)
-), projected as (
+)"""
+_SIGNS = """picked as (
+  select bin, ('0x' || substr(md5('42:' || bin || ':' || r), 1, 12))::bigint h from (select distinct bin from bins), range(8) t(r)
+), matrix as (
+  select bin, h % 64 as dim, sum(case when (h >> 40) % 2 = 0 then 1.0::double else -1.0::double end) / sqrt(8.0::double) weight from picked group by all
+)"""
+_PROJECTED = """projected as (
   select sid, dim, sum(value * weight) as value from bins join matrix using (bin) group by all
 ), lengths as (
   select *, sqrt(sum(value * value) over (partition by sid)) as length from projected
-)"""
+) select sid, dim, round(case when length > 0 then value / length else value end, 6) + 0.0::double as value from lengths"""
 ORACLES |= {"mzml_scan": _SCAN, "mzxml_scan": _SCAN}
 ORACLES |= {
     "cosine_assignment_dense": _DENSE,
-    "project_vectors_matrix": f"""{CLEAN}, bins as (
-  select sid, cast(floor((mz - {LOW!r}::double) / 0.05::double) as bigint) bin, sum(x) as value from unit group by all
-), {_LENGTH} select sid, dim, round(case when length > 0 then value / length else value end, 6) + 0.0::double as value from lengths""",
+    "project_vectors": f"{CLEAN}, {_BINS}, {_SIGNS}, {_PROJECTED}",
+    "project_vectors_matrix": f"{CLEAN}, {_BINS}, {_MATRIX}, {_PROJECTED}",
     "bin_ranges": """with asked as (
   select range k, cast(50 + 1.7::double * range as float) lo, cast(1500 + 7.3::double * range as float) hi, cast(0.02::double + 0.01::double * (range % 5) as float) w from range(25)
 ), snapped as (select k, w, lo - lo % w low, (hi + w) - hi % w high from asked)

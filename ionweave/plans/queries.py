@@ -141,8 +141,7 @@ def bin_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def project_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors.bin_vectors(cleaned(spark, sf_dir), LOW, S.fragment_tol)
-    out = vectors.project(v, vectors.random_projection(v, 64))
-    return out.groupBy("sid").agg(r6(F.sum(F.col("value") * F.col("value"))).alias("length"))
+    return vectors.project(v, vectors.random_projection(v, 64)).select("sid", F.col("dim").cast("long").alias("dim"), r6(F.col("value")).alias("value"))
 
 
 def project_vectors_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
