@@ -58,11 +58,12 @@ def targets(sizes: DataFrame, spec: MixSpec, scratch: Scratch) -> DataFrame:
 
 
 def sized(docs: DataFrame, spec: MixSpec) -> DataFrame:
-    """The rows with __size (words, null text: 0) and __key (random, the same in each run)."""
+    """The rows with __size (words, null text: 0) and __key (32 bits of an MD5 of id and text: random, the same in each run)."""
+    named = F.concat_ws(":", F.lit(str(spec.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     return docs.withColumns(
         {
             "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "__key": F.shiftrightunsigned(F.xxhash64(F.lit(spec.seed), "doc_id", "text"), 32),
+            "__key": F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long"),
         }
     )
 

@@ -62,8 +62,33 @@ with d as (
 select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) n_{k}" for k in [*_KINDS, "term"])}, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans, sha256(coalesce(body, t)) sanitised_sha256
 from d left join sums using (doc_id) left join texts using (doc_id)"""
 
+MIXING = r"""
+with rows as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
+    ('0x' || substr(md5('4:' || coalesce(cast(doc_id as varchar), 'null') || ':' || coalesce(text, '')), 1, 8))::bigint k
+  from documents
+), sources as (
+  select source, sum(size) s, ([3, 1, 2]::double[])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] weight from rows group by source
+), full_first as (
+  select *, row_number() over (order by 2.0::double * s / weight, source nulls last) r from sources
+), units as (
+  select *, (1.5::double * sum(s) over () - 2.0::double * coalesce(sum(s) over (order by r rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by r rows between current row and unbounded following) unit
+  from full_first
+), plan as (
+  select source, s, least(2.0::double * s, (select unit from units where unit * weight <= 2.0::double * s order by r limit 1) * weight) target from units
+), places as (
+  select rows.*, cast(s as bigint) source_size, target, case when s > 0 then cast(floor(target / s) as bigint) else 0 end epochs,
+    cast(coalesce(sum(size) over (partition by rows.source order by k, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) before
+  from rows join plan on rows.source is not distinct from plan.source
+)
+select doc_id, size, source_size, target,
+  cast(case when source_size > 0 then epochs * size + greatest(0, least(size, cast(floor(target) as bigint) - epochs * source_size - before)) else 0 end as bigint) taken
+from places"""
+
+
 ORACLES: dict[str, str] = {
     "op3_private": PRIVATE,
+    "op4_mixing": MIXING,
     "op2_repeats": r"""
 with d as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents
