@@ -58,14 +58,14 @@ def targets(sizes: DataFrame, spec: MixSpec, scratch: Scratch) -> DataFrame:
 
 
 def sized(docs: DataFrame, spec: MixSpec) -> DataFrame:
-    """The rows with __size (words, null text: 0) and __key (32 bits of an MD5 of id and text: random, the same in each run)."""
-    named = F.concat_ws(":", F.lit(str(spec.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    return docs.withColumns(
-        {
-            "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "__key": F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long"),
-        }
-    )
+    """The rows with __size (words, null text: 0), __key (random, the same in each run) and __hash, which tells texts apart where the rest ties.
+
+    The key is 32 bits of an MD5 of id and size, for a null id of size and text.
+    """
+    docs = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(spec.seed)), F.col("__size").cast("string"), name).cast("binary"))
+    return docs.withColumns({"__key": F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), "__hash": F.xxhash64("text")})
 
 
 def assign(rows: DataFrame, spec: MixSpec) -> DataFrame:
@@ -84,7 +84,7 @@ def assign(rows: DataFrame, spec: MixSpec) -> DataFrame:
     sums = rows.groupBy("source", "__range").agg(F.sum("__size").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(F.col("source").alias("__s"), F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__offset"))
-    inner = F.sum("__size").over(Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.sum("__size").over(Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "__size", "__hash").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__inner", F.coalesce(inner, F.lit(0)))
     rows = rows.join(offsets, rows["source"].eqNullSafe(offsets["__s"]) & (rows["__range"] == offsets["__r"])).drop("__s", "__r")
     part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__offset") - F.col("__inner")))

@@ -64,9 +64,8 @@ from d left join sums using (doc_id) left join texts using (doc_id)"""
 
 MIXING = r"""
 with rows as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
-    ('0x' || substr(md5('4:' || coalesce(cast(doc_id as varchar), 'null') || ':' || coalesce(text, '')), 1, 8))::bigint k
-  from documents
+  select doc_id, source, size, ('0x' || substr(md5('4:' || size || ':' || coalesce(cast(doc_id as varchar), 'null:' || coalesce(text, ''))), 1, 8))::bigint k
+  from (select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size from documents)
 ), sources as (
   select source, sum(size) s, ([3, 1, 2]::double[])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] weight from rows group by source
 ), full_first as (
