@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+
 BIN = 1.0
 NO_CHARGE = -128
 
@@ -50,6 +52,7 @@ def with_blocks(spectra: DataFrame, tol: float, unit: str, batch_size: int, key:
 
     A block of batch_size spectra or more is cut, in order of m/z and then ``key``, into equal chunks,
     the first of which get one more if they don't come out even. exempt_last: not the last block of a charge.
+    The table of blocks is written first, so that it is made once and tells whether any block is cut at all.
     """
     table = blocks(spectra, tol, unit)
     if exempt_last:
@@ -57,16 +60,19 @@ def with_blocks(spectra: DataFrame, tol: float, unit: str, batch_size: int, key:
         table = table.join(last, "z").withColumn("cut", (F.col("size") >= batch_size) & (F.col("block") < F.col("__last"))).drop("__last")
     else:
         table = table.withColumn("cut", F.col("size") >= batch_size)
-    table = table.withColumnRenamed("precursor_mz", "__mz")
+    table = Scratch(spectra.sparkSession, "block-table").write(table.withColumnRenamed("precursor_mz", "__mz"))
     rows = spectra.withColumn("__z", charge_key(F.col("precursor_charge")))
     rows = rows.join(table, (rows["__z"] == table["z"]) & (rows["precursor_mz"] == table["__mz"])).drop("__z", "__mz")
     # most spectra are in blocks that stay whole: only the others are put in order
     whole = rows.where("not cut").withColumn("chunk", F.lit(0))
-    large = rows.where("cut").withColumn("__at", F.col("before") + F.row_number().over(Window.partitionBy("z", "precursor_mz").orderBy(*key)) - 1)
-    n = F.ceil(F.col("size") / batch_size)
-    q, r = F.floor(F.col("size") / n), F.col("size") % n
-    long_part, place = r * (q + 1), F.col("__at")
-    chunk = F.when(place < long_part, F.floor(place / (q + 1))).otherwise(r + F.floor((place - long_part) / q))
-    rows = whole.unionByName(large.withColumn("chunk", chunk.cast("int")).drop("__at"))
+    if table.where("cut").isEmpty():
+        rows = whole
+    else:
+        large = rows.where("cut").withColumn("__at", F.col("before") + F.row_number().over(Window.partitionBy("z", "precursor_mz").orderBy(*key)) - 1)
+        n = F.ceil(F.col("size") / batch_size)
+        q, r = F.floor(F.col("size") / n), F.col("size") % n
+        long_part, place = r * (q + 1), F.col("__at")
+        chunk = F.when(place < long_part, F.floor(place / (q + 1))).otherwise(r + F.floor((place - long_part) / q))
+        rows = whole.unionByName(large.withColumn("chunk", chunk.cast("int")).drop("__at"))
     block_id = F.shiftleft((F.col("z") + 129).cast("long"), 52) + F.shiftleft("block", 24) + F.col("chunk")
     return rows.withColumn("block_id", block_id).drop("before", "size", "cut")

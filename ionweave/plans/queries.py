@@ -86,9 +86,14 @@ def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("sid", F.col("z").cast("long").alias("z"), "block", F.col("chunk").cast("long").alias("chunk"))
 
 
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned spectra, written before they are put in blocks, as a whole run does."""
+    return Scratch(spark, "staged").write(cleaned(spark, sf_dir))
+
+
 def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned spectra with blocks, written once as staged spectra are."""
-    return Scratch(spark, "blocks").write(blocking.with_blocks(cleaned(spark, sf_dir), *S.precursor_tol, S.batch_size, ["sid"]))
+    """Staged spectra with blocks, written once for both sides of the band join."""
+    return Scratch(spark, "blocks").write(blocking.with_blocks(_staged(spark, sf_dir), *S.precursor_tol, S.batch_size, ["sid"]))
 
 
 def peak_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,17 +111,17 @@ def _pairs(min_matches: int, threshold: float = 2.0, tol: float = S.fragment_tol
 
 def _clusters(s):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return score_and_cluster(cleaned(spark, sf_dir), s, ["sid"]).select("sid", "cluster")
+        return score_and_cluster(_staged(spark, sf_dir), s, ["sid"]).select("sid", "cluster")
 
     return query
 
 
 def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_and_cluster(cleaned(spark, sf_dir), S, ["sid"]).select("sid", "cluster", "is_representative")
+    return score_and_cluster(_staged(spark, sf_dir), S, ["sid"]).select("sid", "cluster", "is_representative")
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = score_and_cluster(cleaned(spark, sf_dir), S, ["sid"]).where("is_representative")
+    df = score_and_cluster(_staged(spark, sf_dir), S, ["sid"]).where("is_representative")
     return df.select("sid", r6(F.col("precursor_mz")).alias("precursor_mz"), F.size("peaks").cast("long").alias("n_peaks"))
 
 
@@ -126,7 +131,7 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "labels")
-    placed = scratch.write(score_and_cluster(cleaned(spark, sf_dir), S, ["sid"]).select("sid", "block_id", "cluster", "is_representative"))
+    placed = scratch.write(score_and_cluster(_staged(spark, sf_dir), S, ["sid"]).select("sid", "block_id", "cluster", "is_representative"))
     return clustering.global_labels(placed, scratch).select("sid", F.col("cluster").cast("long").alias("label"))
 
 
