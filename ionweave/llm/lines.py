@@ -176,7 +176,7 @@ class LineIndex:
         keys are distinct, so shards are even however often a line occurs.
         """
 
-        tag_bits = self.spec.tag_bits
+        tag_bits, batches = self.spec.tag_bits, max(1, self.spec.batches)
 
         def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             at = int((new if len(new) else old)["shard"].iloc[0])
@@ -190,7 +190,7 @@ class LineIndex:
                 own.remove(h)
                 blob = own.dump()
             elif own is None:
-                blob = _built(h, tag_bits=tag_bits).dump()
+                blob = _built(h, batches * len(h), tag_bits).dump()  # room for the batches to come: none of them finds it full
             else:
                 blob = own.dump() if own.insert(h if all_new else h[~known]) else None  # None: full
             rows = pd.DataFrame({"shard": at, "key": keys, "known": known, "filter": None})
